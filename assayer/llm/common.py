@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -18,21 +19,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; where that is unset and the master is local (tests), a folder of this machine."""
+    sc = spark.sparkContext
+    at = sc._jsc.sc().getCheckpointDir()
+    if at.isDefined():
+        return at.get()
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the reliable checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the cluster's spark.checkpoint.dir. Only where that is unset and the
-    master is local (tests) a folder of this machine is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    """`df` written to the reliable checkpoint folder, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def on_workers(spark: SparkSession) -> None:
     """Lets Python workers import this package even if the driver's folder is not on their path."""
     env = spark.sparkContext.environment

@@ -1,10 +1,72 @@
-"""A cleaning pipeline over `documents` made of the training-data operators."""
+"""A cleaning pipeline over `documents`: each stage reads what the one before has written.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assayer.llm import bytebpe, mixing, pii, quality, simhash
+from assayer.llm.common import table, written
+from assayer.llm.queries import BPE_FILE
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the certified cutoffs reject go; equal ids are judged one by one and go together."""
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    rejected = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id."""
+    found = simhash.near_duplicates(docs)
+    others = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind; other texts stay as they are."""
+    found = pii.detect(docs)
+    text = pii.redacted(F.col("text"), F.col("pii_spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each document and pass with the text it draws; what isn't drawn goes."""
+    mixed = mixing.mix(docs, by_block=False)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, with the digests of the ids and of the bytes they decode to."""
+    return bytebpe.encode(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN, ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", target_weights),
+    ("byte-level BPE encoding and decoding", byte_level_bpe),
+]
+
+#: Linking, certified cutoffs, trained weights and merges are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, with ids as text so that digests alone identify them."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, f"stage{i}")
+    return docs.drop("ids")
