@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, lattice, mixing, parsing, pii, quality, simhash, toxicity
+from . import bytebpe, chat, lattice, mixing, parsing, pii, quality, simhash, toxicity, urlfilter
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -43,10 +43,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.tag(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.digest(urlfilter.evaluate(urlfilter.with_times(table(spark, sf_dir, "pages")), urlfilter.query_entries(spark)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -55,6 +63,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
+    "op8_chat": op8_chat,
     "op9_quality": op9_quality,
+    "op10_urlfilter": op10_urlfilter,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat": chat.ORACLE_SQL,
+    "op10_urlfilter": urlfilter.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}

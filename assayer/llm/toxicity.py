@@ -99,8 +99,8 @@ class Chain:
         return self.bias + np.array(self.own)[strengths] + np.array(self.beside)[left] + np.array(self.beside)[right]
 
 
-def _forward_backward(emission: np.ndarray, mask: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of tag 1 [sequence, time] and expected transitions [2, 2] of padded sequences."""
+def _forward_backward(emission: np.ndarray, mask: np.ndarray, transition: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of tag 1 [sequence, time] and expected transitions [2, 2] of padded sequences, each counted `weight` times."""
     n, length = emission.shape
     score = np.stack([np.zeros_like(emission), emission], axis=2)
     lse = lambda x, axis: np.logaddexp(*np.moveaxis(x, axis, 0))
@@ -115,13 +115,13 @@ def _forward_backward(emission: np.ndarray, mask: np.ndarray, transition: np.nda
     total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
     marginal = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None]) * mask
     edges = np.exp(alpha[:, :-1, :, None] + transition[None, None] + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None])
-    return marginal, (edges * mask[:, 1:, None, None]).sum(axis=(0, 1))
+    return marginal, np.einsum("ntij,nt->ij", edges, mask[:, 1:] * weight[:, None])
 
 
 def fit(sample: list[tuple[str, int]], strengths: dict[str, int]) -> Chain:
     """The chain fitted to texts with labels, cut into pieces of PIECE tokens, then its scoring function."""
     levels = len(STRENGTHS) + 2
-    rows, tags, used = [], [], 0
+    rows, wanted_tags, used = [], [], 0
     for text, toxic in sample:
         own = [strengths.get(w, 0) for w in TOKEN.findall(text.lower())]
         used += len(own)
@@ -129,13 +129,13 @@ def fit(sample: list[tuple[str, int]], strengths: dict[str, int]) -> Chain:
             break
         for at in range(0, len(own), PIECE):
             rows.append(own[at : at + PIECE])
-            tags.append([int(toxic and s > 0) for s in rows[-1]])
+            wanted_tags.append([int(toxic and s > 0) for s in rows[-1]])
     theta, transition = np.zeros(1 + 2 * levels), np.zeros((2, 2))
     theta[0] = -4.0
     if rows:
         mask = np.array([[i < len(r) for i in range(PIECE)] for r in rows])
         s = np.array([r + [0] * (PIECE - len(r)) for r in rows])
-        y = np.array([t + [0] * (PIECE - len(t)) for t in tags])
+        y = np.array([t + [0] * (PIECE - len(t)) for t in wanted_tags])
         # pieces without a marker are all alike but for their length
         plain = ~s.any(axis=1)
         length, counts = np.unique(mask[plain].sum(axis=1), return_counts=True)
@@ -153,7 +153,7 @@ def fit(sample: list[tuple[str, int]], strengths: dict[str, int]) -> Chain:
         speed, speed_t = np.full_like(theta, 1e-8), np.full_like(transition, 1e-8)
         for _ in range(STEPS):  # gradient steps scaled by their history
             emission = theta[0] + theta[1 : 1 + levels][s] + theta[1 + levels :][left] + theta[1 + levels :][right]
-            marginal, edges = _per_weight(emission, mask, transition, weight)
+            marginal, edges = _forward_backward(emission, mask, transition, weight)
             error = (y - marginal) * weight[:, None] * mask
             slope = np.zeros_like(theta)
             slope[0] = error.sum()
@@ -174,19 +174,6 @@ def fit(sample: list[tuple[str, int]], strengths: dict[str, int]) -> Chain:
     return Chain(chain.markers, chain.bias, chain.own, chain.beside, chain.transition, tuple(w))
 
 
-def _per_weight(emission: np.ndarray, mask: np.ndarray, transition: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals, and expected transitions in which a sequence counts `weight` times."""
-    many = weight > 1
-    marginal = np.zeros_like(emission)
-    edges = np.zeros((2, 2))
-    if (~many).any():
-        marginal[~many], edges = _forward_backward(emission[~many], mask[~many], transition)
-    for i in np.flatnonzero(many):
-        marginal[i : i + 1], own = _forward_backward(emission[i : i + 1], mask[i : i + 1], transition)
-        edges = edges + weight[i] * own
-    return marginal, edges
-
-
 def _active(strengths: dict[int, int], n: int) -> dict[int, int]:
     """Positions whose emission isn't the plain one: markers and what stands beside them."""
     return {j: strengths.get(j, 0) for i in strengths for j in (i - 1, i, i + 1) if 0 <= j < n}
