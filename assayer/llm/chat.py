@@ -48,7 +48,7 @@ def unescape(text: str) -> str:
 
 FILTERS: dict[str, Callable[[Any], Any]] = {"escape": lambda x: escape(str(x)), "trim": lambda x: str(x).strip(), "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "length": len}
 BINARY: dict[str, Callable[[Any, Any], Any]] = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "+": operator.add, "-": operator.sub, "*": operator.mul, "%": operator.mod, "~": lambda a, b: f"{a}{b}", "in": lambda a, b: a in b}
-PRECEDENCE = (("or",), ("and",), ("==", "!=", "<", "<=", ">", ">=", "in"), ("+", "-", "~"), ("*", "%"))
+PRECEDENCE = (("or",), ("and",), ("==", "!=", "<", "<=", ">", ">=", "in"), ("~",), ("+", "-"), ("*", "%"))
 #: The greatest string or list that an expression may make.
 MOST = 1 << 28
 
@@ -335,7 +335,15 @@ def _expression(node: Any) -> Callable[[dict], Any]:
             return a * b
 
         return product
-    return lambda scope: apply2(left(scope), right(scope))
+
+    def binary(scope: dict) -> Any:
+        a, b = left(scope), right(scope)
+        try:
+            return apply2(a, b)
+        except (TypeError, ZeroDivisionError) as e:
+            raise TemplateError(str(e)) from e
+
+    return binary
 
 
 class Sink:

@@ -164,8 +164,10 @@ def fit(sample: list[tuple[str, int]], strengths: dict[str, int]) -> Chain:
             speed, speed_t = 0.9 * speed + 0.1 * slope**2, 0.9 * speed_t + 0.1 * slope_t**2
             theta, transition = theta + 0.15 * slope / np.sqrt(speed), transition + 0.15 * slope_t / np.sqrt(speed_t)
     chain = Chain(strengths, float(theta[0]), tuple(theta[1 : 1 + levels]), tuple(theta[1 + levels :]), tuple(map(tuple, transition)))
-    features = np.array([(1.0, *summary(tags(chain, text))) for text, _ in sample] or [(1.0, 0.0, 0.0)])
-    wanted = np.array([float(t > 0) for _, t in sample] or [0.0])
+    if not sample:
+        return chain
+    features = np.array([(1.0, *summary(tags(chain, text))) for text, _ in sample])
+    wanted = np.array([float(t > 0) for _, t in sample])
     w = np.zeros(3)
     for _ in range(30):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
