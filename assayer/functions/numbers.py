@@ -77,10 +77,8 @@ def numbers_in_words(text: str, language: str = "en") -> str:
 
 @functools.cache
 def _speller(language: str) -> Callable[[Column], Column]:
-    import pandas as pd
-
     @F.pandas_udf("string")
-    def spell(text: pd.Series) -> pd.Series:
+    def spell(text):  # noqa: ANN001, ANN202  the kind of UDF follows from there being no annotations
         return text.map(lambda t: numbers_in_words(t, language), na_action="ignore")
 
     return spell
