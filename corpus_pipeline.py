@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import bytebpe, mixing, pii, quality, simhash
@@ -26,10 +26,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
+    """One document of each group stays: the one with the smallest id; of equal rows with that id, one. Null ids stay.
+
+    Rows of an id are together after the join, so that numbering them needs no other shuffle.
+    """
     found = simhash.near_duplicates(docs)
     others = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.join(others, "doc_id", "left_anti").withColumn("digest", F.xxhash64("text"))
+    equal = Window.partitionBy("doc_id", "digest").orderBy("digest")
+    return left.withColumn("n", F.row_number().over(equal)).where("n = 1 or doc_id is null").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
