@@ -61,6 +61,10 @@ AGAINST = r"(?i)(?:version|isbn|order|invoice|page|chapter|build|figure|sha|comm
 LABELERS = ("regex", "gazetteer", "context")
 BEFORE = 32
 ROUNDS = 25
+#: Bounds of the estimated share of true candidates.
+SHARE = (0.3, 0.7)
+#: How often each labeler is believed to be right before any vote is seen.
+BELIEF = {"regex": 0.95, "gazetteer": 0.7, "context": 0.8}
 
 
 def digits(value: Column) -> Column:
@@ -162,15 +166,16 @@ def _features(pattern: tuple[int, ...], share: int) -> list[float]:
     return [1.0, *(x for v in pattern for x in (float(v > 0), float(v < 0))), share / 10 - 0.5]
 
 
-def train(patterns: list[tuple[int, tuple[int, ...], int, int]], rounds: int = ROUNDS) -> Model:
+def train(patterns: list[tuple[int, tuple[int, ...], int, int]], rounds: int = ROUNDS, belief: float = 1.0) -> Model:
     """EM on (kind, votes, share, count) rows, then a logistic classifier fitted to the posteriors.
 
-    The prior favours labelers that are right more often than not, which also names the classes.
+    Two or three labelers don't determine the model by themselves, so reliabilities have a prior (BELIEF) that weighs `belief`
+    times as much as the votes, and the share of true candidates stays within SHARE. Both also name the classes.
     """
     weights, reliability = {}, {}
     for kind in {p[0] for p in patterns}:
         own = [p for p in patterns if p[0] == kind]
-        right = {n: [0.85, 0.85] for n in LABELERS}  # of a vote, given a true and a false candidate
+        right = {n: [BELIEF[n], BELIEF[n]] for n in LABELERS}  # of a vote, given a true and a false candidate
         prior, post = 0.5, []
         for _ in range(rounds):
             post = []
@@ -181,12 +186,13 @@ def train(patterns: list[tuple[int, tuple[int, ...], int, int]], rounds: int = R
                         a += math.log(right[name][0] if v > 0 else 1 - right[name][0])
                         b += math.log(right[name][1] if v < 0 else 1 - right[name][1])
                 post.append(1 / (1 + math.exp(min(50.0, b - a))))
-            total = sum(p[3] for p in own)
-            prior = min(0.98, max(0.02, (sum(q * p[3] for q, p in zip(post, own)) + 1) / (total + 2)))
+            seen = sum(p[3] for p in own)
+            prior = min(SHARE[1], max(SHARE[0], sum(q * p[3] for q, p in zip(post, own)) / seen))
             for i, name in enumerate(LABELERS):
                 for side, sign in ((0, 1), (1, -1)):
                     cast = [((q if side == 0 else 1 - q) * p[3], p[1][i]) for q, p in zip(post, own) if p[1][i]]
-                    right[name][side] = min(0.98, max(0.55, (sum(w for w, v in cast if v == sign) + 8.5) / (sum(w for w, _ in cast) + 10)))
+                    held = sum(w for w, _ in cast)
+                    right[name][side] = min(0.98, max(0.55, (sum(w for w, v in cast if v == sign) + BELIEF[name] * (belief * held + 10)) / (held + belief * held + 10)))
         width = len(_features(own[0][1], 0))
         w, total = [0.0] * width, sum(p[3] for p in own)
         for _ in range(300):  # gradient steps with a little shrinkage

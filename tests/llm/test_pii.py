@@ -78,12 +78,24 @@ def test_em_recovers_reliabilities():
         true = rng.random() < 0.4
         votes = tuple((1 if (rng.random() < right) == true else -1) if rng.random() < 0.8 else 0 for right in (0.95, 0.8, 0.7))
         counts[votes] = counts.get(votes, 0) + 1
-    model = pii.train([(0, v, 5, n) for v, n in sorted(counts.items())], rounds=80)
+    model = pii.train([(0, v, 5, n) for v, n in sorted(counts.items())], rounds=80, belief=0.0)
     for name, want in zip(pii.LABELERS, (0.95, 0.8, 0.7)):
         assert all(abs(got - want) < 0.06 for got in model.reliability[0][name])
     assert model.weights[0][1] > 0 > model.weights[0][2]
 
 
+def test_few_labelers_leave_failed_checksums_alone(spark):
+    # votes as two informative labelers give them: valid cards, valid by chance, failed ones of either prefix
+    counts = {(1, 1, 0): 158, (1, 0, 0): 16, (-1, 0, 0): 146, (-1, 1, 0): 11}
+    for scale in (1, 100):
+        model = pii.train([(2, v, 10, n * scale) for v, n in counts.items()])
+        odds = {v: sum(a * b for a, b in zip(model.weights[2], pii._features(v, 10))) for v in counts}
+        assert {v for v, x in odds.items() if x > 0} == {(1, 1, 0), (1, 0, 0)}
+    texts = ["pay 4111111111111111 now"] * 20 + ["ref 9807915762804490 x"] * 15 + ["none"]
+    got = found(spark, texts)
+    assert all(len(got[i]["pii_spans"]) == (i < 20) for i in got)
+
+
 def test_odd_rows(spark):
     out = pii.digest(pii.detect(docs(spark))).collect()
     want = []
