@@ -200,8 +200,8 @@ def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dictated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names spoken as a sentence of six words; the transcript misses the third."""
-    part = _table(spark, sf_dir, "part")
+    """Part names spoken as a sentence of six words; the transcript misses the third. Dealt out, as one file is one task."""
+    part = _table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism)
     whole = F.concat_ws(" ", "p_name", F.lower("p_type"), "p_name", F.lower("p_brand"))
     return part.select(F.col("p_partkey").alias("row_id"), whole.alias("reference"), F.concat_ws(" ", "p_name", "p_name", F.lower("p_brand")).alias("prediction"))
 
