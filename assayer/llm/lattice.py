@@ -17,6 +17,7 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from math import exp, log, log1p
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,67 +55,68 @@ class Pieces:
         """A character that is no piece is spelled by its bytes."""
         return sum(self.log_p[self.bytes_of[b]] for b in char.encode())
 
-    def steps(self, text: str) -> Iterator[tuple[int, list[tuple[int, float]]]]:
-        """For each position, the ends and scores of the pieces that begin there."""
-        arcs, n = self.arcs, len(text)
+    def lattice(self, text: str) -> list[list[tuple[int, float]]]:
+        """For each position, the ends and scores of the pieces that begin there; scores are below 0."""
+        find, n, out = self.arcs.get, len(text), []
         for i in range(n):
-            out, stop, whole = [], i + 1, False
-            piece = text[i]
-            while piece in arcs:
-                if (score := arcs[piece]) is not None:
-                    out.append((stop, score))
-                    whole |= stop == i + 1
+            own, stop, score = [], i + 1, find(text[i], 0.0)
+            while score != 0.0:
+                if score is not None:
+                    own.append((stop, score))
                 if stop == n:
                     break
                 stop += 1
-                piece = text[i:stop]
-            if not whole:
-                out.append((i + 1, self.unseen(text[i])))
-            yield i, out
-
-    def forward(self, text: str) -> list[float]:
-        """Log of the summed probability of all segmentations of each prefix."""
-        inward: list[list[float]] = [[] for _ in range(len(text) + 1)]
-        alpha = [0.0] * (len(text) + 1)
-        for i, out in self.steps(text):
-            if i:
-                alpha[i] = _log_sum(inward[i])
-                inward[i] = []
-            a = alpha[i]
-            for stop, score in out:
-                inward[stop].append(a + score)
-        if text:
-            alpha[-1] = _log_sum(inward[-1])
-        return alpha
+                score = find(text[i:stop], 0.0)
+            if not own or own[0][0] != i + 1:
+                own.append((i + 1, self.unseen(text[i])))
+            out.append(own)
+        return out
 
     def word(self, word: str) -> float:
-        return self.forward(MARK + word)[-1]
+        return _forward(self.lattice(MARK + word))[-1]
 
     def expected(self, word: str, times: float, into: dict[str, float]) -> None:
-        """Adds the expected uses of each piece in `times` occurrences of the word."""
+        """Adds the expected uses of each piece in `times` occurrences of the word, by forward and backward recursion."""
         text = MARK + word
-        alpha, n = self.forward(text), len(text)
+        arcs = self.lattice(text)
+        alpha, n = _forward(arcs), len(text)
         beta = [0.0] * (n + 1)
-        arcs = list(self.steps(text))
-        for i, out in reversed(arcs):
-            beta[i] = _log_sum([score + beta[stop] for stop, score in out])
-        for i, out in arcs:
-            base = alpha[i] - alpha[n]
-            for stop, score in out:
-                use = times * math.exp(min(0.0, base + score + beta[stop]))
+        total, known = alpha[n], self.arcs
+        for i in range(n - 1, -1, -1):
+            own, base = arcs[i], alpha[i] - total
+            if len(own) == 1:
+                beta[i] = own[0][1] + beta[own[0][0]]
+            else:
+                beta[i] = _log_sum([score + beta[stop] for stop, score in own])
+            for stop, score in own:
+                use = times * exp(min(0.0, base + score + beta[stop]))
                 piece = text[i:stop]
-                if self.arcs.get(piece) is not None:
+                if known.get(piece) is not None:
                     into[piece] = into.get(piece, 0.0) + use
                 else:
                     for b in piece.encode():
                         into[self.bytes_of[b]] = into.get(self.bytes_of[b], 0.0) + use
 
 
+def _forward(arcs: list[list[tuple[int, float]]]) -> list[float]:
+    """Log of the summed probability of all segmentations of each prefix."""
+    alpha: list[float | None] = [None] * (len(arcs) + 1)
+    alpha[0] = 0.0
+    for a, own in zip(alpha, arcs):  # every position is reached, by single characters at least
+        for stop, score in own:
+            x, y = alpha[stop], a + score
+            if x is None:
+                alpha[stop] = y
+            elif x > y:
+                alpha[stop] = x + log1p(exp(y - x))
+            else:
+                alpha[stop] = y + log1p(exp(x - y))
+    return alpha
+
+
 def _log_sum(terms: list[float]) -> float:
-    if len(terms) == 1:
-        return terms[0]
     top = max(terms)
-    return top + math.log(sum([math.exp(t - top) for t in terms]))
+    return top + log(sum([exp(t - top) for t in terms]))
 
 
 def read_pieces(path: str) -> Pieces:
