@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut, id_and_text, on_workers
 
 FOLDS, LEFT_OUT = 5, 0
-#: Training texts and tokens that the chain is fitted on, at most.
-SAMPLE, SAMPLE_TOKENS, PIECE = 4000, 1_500_000, 64
+#: Training texts that the chain is fitted on, their code points each and tokens in all, at most; longer texts aren't drawn.
+SAMPLE, SAMPLE_CHARS, SAMPLE_TOKENS, PIECE = 4000, 20_000, 1_500_000, 64
 #: Markers at most, their least log odds and least number of toxic texts.
 MARKERS, LEAST_ODDS, LEAST_TEXTS = 20_000, 1.5, 5
 #: Upper bounds of the log odds of each strength but the last; strength 0 is no marker.
@@ -251,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Chain:
     texts = own.join(F.broadcast(chosen) if few else chosen, "doc_id").select("text", "toxic")
     found = markers(texts, size.get(True, 0), size.get(False, 0))
     drawn = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = own.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").collect()
+    sample = own.join(F.broadcast(drawn), "doc_id").where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "toxic").collect()
     return fit([(r[1], int(r[2] > 0)) for r in sorted(sample, key=lambda r: (r[0], r[1]))], {w: strength(o) for w, o in found.items()})
 
 
