@@ -118,40 +118,62 @@ def _mix64(x: np.ndarray) -> np.ndarray:
 
 
 def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
-    """Positions of 0 .. n - 1 under a keyed permutation: a Feistel network, walked until it lands in the domain."""
-    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
-    low, bits = np.uint64((1 << half) - 1), np.uint64(half)
+    """Positions of 0 .. n - 1 under a keyed permutation: a Feistel network over the fewest bits, walked until it lands in the domain."""
+    bits = max(2, (n - 1).bit_length())
+    low = np.uint64(bits // 2)
+    low_mask, high_mask = np.uint64((1 << (bits // 2)) - 1), np.uint64((1 << (bits - bits // 2)) - 1)
+    keys = [np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF) for r in range(4)]
     x = x.astype(np.uint64)
     out = np.full(len(x), -1, np.int64)
     todo = np.arange(len(x))
     while len(todo):
-        a, b = x >> bits, x & low
-        for r in range(4):
-            a, b = b, a ^ (_mix64(b + np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)) & low)
-        x = (a << bits) | b
+        a, b = x >> low, x & low_mask
+        for r in (0, 2):
+            a = a ^ (_mix64(b + keys[r]) & high_mask)
+            b = b ^ (_mix64(a + keys[r + 1]) & low_mask)
+        x = (a << low) | b
         done = x < np.uint64(n)
         out[todo[done]] = x[done]
         x, todo = x[~done], todo[~done]
     return out
 
 
-def drawn(plan: Plan, source: int, offset: int, size: int, passes: int = MOST_PASSES) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each pass that draws blocks of a document at `offset` of its source's stream: (pass, starts, ends, shards, positions).
+@dataclass(frozen=True)
+class Draws:
+    """Blocks drawn of many documents, by document and pass: words begin .. end of document `row`, for a shard."""
+
+    row: np.ndarray
+    turn: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    shard: np.ndarray
+    position: np.ndarray
+
+
+def drawn(plan: Plan, source: np.ndarray, offset: np.ndarray, size: np.ndarray, passes: int = MOST_PASSES) -> Draws:
+    """What the mix draws of documents at `offset` of their source's stream.
 
-    Starts and ends are word numbers within the document; blocks at its ends may belong to its neighbours in part.
+    Word numbers count within the document; blocks at its ends may belong to its neighbours in part. Documents of
+    a source are handled together, block by block and not one by one.
     """
-    if not size:
-        return
-    length, n, draws = plan.block[source], plan.blocks[source], plan.draws[source]
-    own = np.arange(offset // length, (offset + size - 1) // length + 1)
-    for turn in range(passes):
-        if turn * n >= draws:
-            break
-        at = permuted(own, n, plan.seed + 1_000_003 * source + turn) + turn * n
-        taken = at < draws
-        if taken.any():
-            blocks = own[taken]
-            yield turn, np.maximum(blocks * length - offset, 0), np.minimum((blocks + 1) * length - offset, size), np.searchsorted(plan.ends[:, source], at[taken], side="right"), at[taken]
+    found: list[tuple[np.ndarray, ...]] = []
+    for s in np.unique(source):
+        rows = np.flatnonzero((source == s) & (size > 0))
+        length, n, draws = plan.block[s], plan.blocks[s], plan.draws[s]
+        first = offset[rows] // length
+        count = (offset[rows] + size[rows] - 1) // length + 1 - first
+        row = np.repeat(rows, count)
+        block = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        for turn in range(passes):
+            if turn * n >= draws:
+                break
+            at = permuted(block, n, plan.seed + 1_000_003 * int(s) + turn) + turn * n
+            taken = at < draws
+            r, b = row[taken], block[taken] * length - offset[row[taken]]
+            found.append((r, np.full(len(r), turn), np.maximum(b, 0), np.minimum(b + length, size[r]), np.searchsorted(plan.ends[:, s], at[taken], side="right"), at[taken]))
+    parts = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 6
+    order = np.lexsort((parts[2], parts[1], parts[0]))
+    return Draws(*(p[order] for p in parts))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = False) -> DataFrame:
@@ -202,16 +224,17 @@ def allotment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = cut(bucketed(sized(docs, id_col, text_col, source_col)))
     totals, plan = planned(rows, **parameters)
     passes = parameters.get("passes", MOST_PASSES)
+    sizes, wanted = np.array(plan.size, np.int64), np.array(plan.target, np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, source, number, size, offset = (batch.column(i) for i in range(5))
-            taken = [sum(int((e - b).sum()) for _, b, e, _, _ in drawn(plan, s, o, n, passes)) for s, n, o in zip(number.to_pylist(), size.to_pylist(), offset.to_pylist())]
-            k = number.to_pylist()
-            yield pa.RecordBatch.from_arrays([ids, source, size, pa.array([plan.size[i] for i in k], pa.int64()), pa.array([plan.target[i] for i in k], pa.float64()), pa.array(taken, pa.int64())], names=["doc_id", "source", "size", "source_size", "target", "taken"])
+            number, size, offset = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            own = drawn(plan, number, offset, size, passes)
+            taken = np.bincount(own.row, own.end - own.begin, len(size)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(sizes[number]), pa.array(wanted[number]), pa.array(taken)], names=["doc_id", "source", "size", "source_size", "target", "taken"])
 
     on_workers(docs.sparkSession)
-    return placed(rows, totals).select("doc_id", "source", _number(plan).alias("number"), "size", "offset").mapInArrow(run, "doc_id long, source string, size long, source_size long, target double, taken long")
+    return placed(rows, totals).select("doc_id", "source", _number(plan).cast("long").alias("number"), "size", "offset").mapInArrow(run, "doc_id long, source string, size long, source_size long, target double, taken long")
 
 
 def word_starts(text: bytes) -> list[int]:
@@ -247,16 +270,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own = drawn(plan, *(batch.column(c).to_numpy() for c in (1, 3, 2)), passes)
+            # the draws of one document and pass are on end
+            first = np.flatnonzero(np.r_[True, (own.row[1:] != own.row[:-1]) | (own.turn[1:] != own.turn[:-1])][: len(own.row)])
+            text, size = batch.column(0).cast(pa.binary()), batch.column(2).to_numpy()
             made: list[tuple] = []
-            text = batch.column(0).cast(pa.binary()).to_pylist()
-            for i, (t, s, n, o) in enumerate(zip(text, *(batch.column(c).to_pylist() for c in (1, 2, 3)))):
-                starts = word_starts(t)
-                for turn, b, e, shard, at in drawn(plan, s, o, n, passes):
-                    if by_block:
-                        made += [(i, taken_text(t, starts, b[j : j + 1], e[j : j + 1]).decode(), int(shard[j]), int(at[j]), turn) for j in range(len(b))]
-                    else:
-                        whole = int((e - b).sum()) == n
-                        made.append((i, (t if whole else taken_text(t, starts, b, e)).decode(), int(shard[0]), int(at[0]), turn))
+            last, t, starts = -1, b"", [0]
+            for a, z in zip(first.tolist(), [*first[1:].tolist(), len(own.row)]):
+                i = int(own.row[a])
+                if i != last:
+                    last, t = i, text[i].as_py()
+                    starts = word_starts(t)
+                b, e = own.begin[a:z], own.end[a:z]
+                if by_block:
+                    made += [(i, taken_text(t, starts, b[j : j + 1], e[j : j + 1]).decode(), int(own.shard[a + j]), int(own.position[a + j]), int(own.turn[a])) for j in range(z - a)]
+                else:
+                    whole = int((e - b).sum()) == size[i]
+                    made.append((i, (t if whole else taken_text(t, starts, b, e)).decode(), int(own.shard[a]), int(own.position[a]), int(own.turn[a])))
             who, words, shard, at, turn = zip(*made) if made else ((),) * 5
             row = batch.column(4).take(pa.array(who, pa.int64()))
             yield pa.RecordBatch.from_arrays([row, pa.array(words, pa.string()), pa.array(shard, pa.int32()), pa.array(at, pa.int64()), pa.array(turn, pa.int32())], names=["row", "words", "shard", "position", "pass"])
@@ -265,7 +295,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
     own = placed(rows.withColumn("row", F.col("row").dropFields(text_col) if len(docs.columns) > 1 else F.struct(F.lit(1))), totals)
     kind = docs.select(others.alias("row")).schema["row"].dataType.simpleString()
-    out = own.select("text", _number(plan).alias("number"), "size", "offset", "row").mapInArrow(run, f"row {kind}, words string, shard int, position long, pass int")
+    out = own.select("text", _number(plan).cast("long").alias("number"), "size", "offset", "row").mapInArrow(run, f"row {kind}, words string, shard int, position long, pass int")
     if by_block:
         out = out.repartition("shard", F.pmod("position", F.lit(64))).sortWithinPartitions("shard", F.xxhash64(F.lit(plan.seed), "position", "words"))
     return out.select(*(F.col("words").alias(text_col) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns), "shard", "position", "pass")
