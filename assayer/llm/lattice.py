@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import exp, log, log1p
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,6 +99,123 @@ class Pieces:
                         into[self.bytes_of[b]] = into.get(self.bytes_of[b], 0.0) + use
 
 
+class Batch:
+    """The lattices of many words at once.
+
+    Arcs are found by rolling hashes of all substrings that are prefixes of pieces, one length after another. A step of
+    the recursions takes all words' arcs that begin (or end) at one position; a word has at most one such arc for
+    each end (or beginning), so that a step never meets a node twice.
+    """
+
+    MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.names = list(pieces.log_p)
+        number = {p: i for i, p in enumerate(self.names)}
+        self.scores = np.array([pieces.log_p[p] for p in self.names])
+        known = list(pieces.arcs)
+        hashes = np.array([self._hash(p) for p in known], np.uint64)
+        order = np.argsort(hashes)
+        self.keys = hashes[order]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces have one hash")
+        self.number = np.array([number[p] if pieces.arcs[p] is not None else -1 for p in known], np.int64)[order]
+        self.byte = np.array([number[pieces.bytes_of[b]] for b in range(256)])
+
+    def _hash(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.MULTIPLIER) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def _arcs(self, words: list[str]):
+        texts = [MARK + w for w in words]
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        code = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+        word = np.repeat(np.arange(len(texts)), n)
+        first = np.cumsum(n) - n
+        end = np.repeat(first + n, n)
+        at, h, found = np.arange(len(code)), np.zeros(len(code), np.uint64), []
+        single = np.zeros(len(code), bool)
+        length = 0
+        while len(at):
+            h = h * self.MULTIPLIER + code[at + length]
+            length += 1
+            where = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            known = self.keys[where] == h
+            at, h, piece = at[known], h[known], self.number[where[known]]
+            whole = piece >= 0
+            found.append((at[whole], np.full(int(whole.sum()), length), piece[whole]))
+            if length == 1:
+                single[at[whole]] = True
+            go_on = at + length < end[at]
+            at, h = at[go_on], h[go_on]
+        odd = np.flatnonzero(~single)
+        start, size, piece = (np.concatenate(x) for x in zip(*found, (odd, np.ones(len(odd), np.int64), np.full(len(odd), -1))))
+        score = self.scores[piece]
+        if len(odd):
+            chars, which = np.unique(code[odd], return_inverse=True)
+            score[len(score) - len(odd) :] = np.array([self.pieces.unseen(chr(int(c) - 1)) for c in chars])[which]
+        # a word of n characters has n + 1 nodes
+        return start + word[start], start + size + word[start], start - first[word[start]], size, piece, score, word[start], first + np.arange(len(texts)), n, code[odd]
+
+    def _alpha(self, tail: np.ndarray, head: np.ndarray, place: np.ndarray, score: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        alpha = np.full(int((n + 1).sum()), -np.inf)
+        alpha[first] = 0.0
+        order = np.argsort(place, kind="stable")
+        bound = np.searchsorted(place[order], np.arange(int(n.max()) + 1))
+        for a, b in zip(bound[:-1], bound[1:]):
+            now = order[a:b]
+            alpha[head[now]] = np.logaddexp(alpha[head[now]], alpha[tail[now]] + score[now])
+        return alpha
+
+    def word(self, words: list[str]) -> np.ndarray:
+        """The log probability of each word."""
+        tail, head, place, _, _, score, _, first, n, _ = self._arcs(words)
+        return self._alpha(tail, head, place, score, first, n)[first + n]
+
+    def expected(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """The expected uses of every piece in all words, each of which occurs so many times."""
+        tail, head, place, size, piece, score, word, first, n, odd = self._arcs(words)
+        alpha = self._alpha(tail, head, place, score, first, n)
+        beta = np.full(len(alpha), -np.inf)
+        beta[first + n] = 0.0
+        stop = place + size
+        order = np.argsort(-stop, kind="stable")
+        bound = np.searchsorted(-stop[order], -np.arange(int(n.max()), -1, -1))
+        for a, b in zip(bound[:-1], bound[1:]):
+            now = order[a:b]
+            beta[tail[now]] = np.logaddexp(beta[tail[now]], beta[head[now]] + score[now])
+        use = times[word] * np.exp(np.minimum(0.0, alpha[tail] + score + beta[head] - alpha[first + n][word]))
+        whole = piece >= 0
+        out = np.bincount(piece[whole], use[whole], len(self.names))
+        chars, which = np.unique(odd, return_inverse=True)
+        for c, u in zip(chars.tolist(), np.bincount(which, use[len(use) - len(odd) :], len(chars)).tolist()):
+            for b in chr(c - 1).encode():
+                out[self.byte[b]] += u
+        return out
+
+
+def _blocks(words: list[str], most: int = 200_000) -> Iterator[list[int]]:
+    """Word numbers in blocks of similar length with about `most` characters; a long word is a block alone."""
+    own: list[int] = []
+    held = 0
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        n = len(words[i]) + 1
+        if own and (held + n > most or n > LONG):
+            yield own
+            own, held = [], 0
+        own.append(i)
+        held += n
+    if own:
+        yield own
+
+
+#: Longer words are handled one by one.
+LONG = 200
+
+
 def _forward(arcs: list[list[tuple[int, float]]]) -> list[float]:
     """Log of the summed probability of all segmentations of each prefix."""
     alpha: list[float | None] = [None] * (len(arcs) + 1)
@@ -178,14 +296,14 @@ def _shipped(pieces: Pieces):
     return pickle.dumps((pieces.log_p, pieces.end, pieces.bytes_of))
 
 
-_held: dict[int, Pieces] = {}
+_held: dict[int, Batch] = {}
 
 
-def _unshipped(data: bytes) -> Pieces:
+def _unshipped(data: bytes) -> Batch:
     key = hash(data)
     if key not in _held:
         _held.clear()
-        _held[key] = Pieces(*pickle.loads(data))
+        _held[key] = Batch(Pieces(*pickle.loads(data)))
     return _held[key]
 
 
@@ -194,11 +312,18 @@ def reestimated(words: DataFrame, pieces: Pieces, n_docs: int) -> Pieces:
     data = words.sparkSession.sparkContext.broadcast(_shipped(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, uses = _unshipped(data.value), {}
+        own = _unshipped(data.value)
+        total, more = np.zeros(len(own.names)), {}
         for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own.expected(word, c, uses)
-        yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.float64())], names=["piece", "uses"])
+            words, times = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64)
+            for block in _blocks(words):
+                if len(block) == 1 and len(words[block[0]]) >= LONG:
+                    own.pieces.expected(words[block[0]], float(times[block[0]]), more)
+                else:
+                    total += own.expected([words[i] for i in block], times[block])
+        for piece, use in more.items():
+            total[own.names.index(piece)] += use
+        yield pa.RecordBatch.from_arrays([pa.array(own.names, pa.string()), pa.array(total, pa.float64())], names=["piece", "uses"])
 
     found = dict(map(tuple, words.where("c > 0").mapInArrow(run, "piece string, uses double").groupBy("piece").agg(F.sum("uses")).collect()))
     found[pieces.end] = float(n_docs)
@@ -214,7 +339,12 @@ def word_scores(words: DataFrame, pieces: Pieces) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _unshipped(data.value)
         for batch in batches:
-            scores = [own.word(w) / math.log(10) for w in batch.column(0).to_pylist()]
+            words = batch.column(0).to_pylist()
+            scores = np.zeros(len(words))
+            for block in _blocks(words):
+                long = len(block) == 1 and len(words[block[0]]) >= LONG
+                scores[block] = own.pieces.word(words[block[0]]) if long else own.word([words[i] for i in block])
+            scores /= math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["word", "c", "log10_p"])
 
     return words.select("word", "c").mapInArrow(run, "word string, c long, log10_p double")

@@ -1,9 +1,11 @@
 import collections
 import itertools
 import math
+import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -59,6 +61,22 @@ def test_expected_uses_follow_the_gradient():
         assert abs(uses.get(piece, 0.0) - 2 * slope) < 1e-3
 
 
+def test_batches_agree_with_single_words():
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcé漢x") for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["abc" * 60]
+    times = np.array([rng.randint(1, 5) for _ in words], np.float64)
+    own = tiny()
+    batch = lattice.Batch(own)
+    assert np.allclose(batch.word(words), [own.word(w) for w in words])
+    uses = {}
+    for w, n in zip(words, times.tolist()):
+        own.expected(w, n, uses)
+    assert np.allclose(batch.expected(words, times), [uses.get(p, 0.0) for p in batch.names])
+    blocks = list(lattice._blocks([*words, "a" * 500, "b" * 300], most=100))
+    assert sorted(i for b in blocks for i in b) == list(range(len(words) + 2))
+    assert [len(words)] in blocks and [len(words) + 1] in blocks
+
+
 def test_long_word_stays_finite():
     assert math.isfinite(tiny().word("abc" * 20_000))
 
