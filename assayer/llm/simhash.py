@@ -65,15 +65,16 @@ def fingerprint_batch(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the 64 bits of each whole text's SimHash, as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, *carried): the 64 bits of each whole text's SimHash, as a signed long, with the columns of the row that are carried."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = fingerprint_batch(as_bytes(batch.column(1)), width).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=["doc_id", "fp", *carried])
 
     on_workers(docs.sparkSession)
-    return id_and_text(docs, id_col, text_col).mapInArrow(arrow_map(run), "doc_id long, fp long")
+    own = id_and_text(docs, id_col, text_col) if not carried else docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("__text"), *carried)
+    return own.mapInArrow(arrow_map(run), ", ".join(["doc_id long", "fp long", *(f"{x} {t}" for x, t in docs.select(*carried).dtypes)]))
 
 
 def embed(fp: np.ndarray) -> np.ndarray:

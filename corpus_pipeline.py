@@ -8,33 +8,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import bytebpe, mixing, pii, quality, simhash
-from assayer.llm.common import table, written
+from assayer.llm.common import cut, table, written
+from assayer.llm.components import components
 from assayer.llm.queries import BPE_FILE
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the certified cutoffs reject go; equal ids are judged one by one and go together."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
-    rejected = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that the base rules or the certified cutoffs reject go; each row by its own verdict, whatever its id."""
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"), carried=COLUMNS[1:])
+    return judged.where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id; of equal rows with that id, one. Null ids stay.
+    """Of the rows of each group that have an id one stays, the one with the smallest; of those without an id, one too.
 
-    Rows of an id are together after the join, so that numbering them needs no other shuffle.
+    Rows are numbered once, so that each stays or goes by its own text; of equal ids in a group the smallest hash stays.
     """
-    found = simhash.near_duplicates(docs)
-    others = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti").withColumn("digest", F.xxhash64("text"))
-    equal = Window.partitionBy("doc_id", "digest").orderBy("digest")
-    return left.withColumn("n", F.row_number().over(equal)).where("n = 1 or doc_id is null").select(*COLUMNS)
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    rows = cut(simhash.fingerprints(numbered, carried=(*COLUMNS[1:], "row")))
+    own, none = F.struct("doc_id", F.xxhash64(*COLUMNS[1:]), "row"), F.col("doc_id").isNull()
+    firsts = [F.min(F.when(~none, own)).alias("known"), F.min(F.when(none, own)).alias("unknown")]
+    distinct = cut(rows.groupBy("fp").agg(*firsts))
+    roots = components(simhash.links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    lowest = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("known").alias("known"), F.min("unknown").alias("unknown"))
+    left = lowest.select(F.explode(F.array("known.row", "unknown.row")).alias("row")).where("row is not null")
+    return rows.join(left, "row", "left_semi").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,3 +100,23 @@ def test_repeated_rows_meet(spark, sf):
     null = docs.withColumn("doc_id", F.lit(None).cast("long"))
     out = corpus_pipeline.near_duplicates(spark, docs.union(docs).union(null), sf)
     assert out.where("doc_id is not null").count() <= 5 and out.where("doc_id is null").count() == 5
+
+
+def made(spark, rows):
+    return spark.createDataFrame([(i, text, "en", source, len(text or "")) for i, text, source in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_rows_go_by_their_own_verdict(spark, sf):
+    clean = " ".join(f"word{chr(97 + i)}" for i in range(24))
+    docs = made(spark, [(None, "junk", "a"), (None, clean, "b"), (1, "junk", "c"), (1, clean, "d"), (2, None, "e"), (None, None, "f"), (None, "so it goes on and on " * 20, "g")])
+    assert sorted(r["source"] for r in corpus_pipeline.quality_rules(spark, docs, sf).collect()) == ["b", "d"]
+
+
+def test_rows_meet_by_their_own_text(spark, sf):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    docs = made(spark, [(1, one, "a"), (2, one, "b"), (2, two, "c"), (3, two, "d"), (None, three, "e"), (None, three, "e"), (None, three + " end", "e"), (4, two, "f")])
+    out = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    assert sorted((str(r["doc_id"]), r["source"]) for r in out if r["source"] != "e") == [("1", "a"), ("2", "c")]
+    assert 1 <= sum(r["source"] == "e" for r in out) <= 2  # one more word may be too far
+    copies = corpus_pipeline.near_duplicates(spark, made(spark, [(None, three, "e")] * 4 + [(2, two, "c")] * 3), sf).collect()
+    assert sorted(str(r["doc_id"]) for r in copies) == ["2", "None"]
