@@ -4,8 +4,8 @@ List entries are dated: from `since` on, a list has or hasn't a pattern. A patte
 included) or a host with the beginning of a path. Successive entries of one list and pattern become validity
 intervals, and each capture is held against the intervals that are open at its fetch time (an as-of join).
 
-The join is on equality: a capture's keys are its host's suffixes, each alone and with every leading part of
-the path up to the list's deepest pattern. Captures of one host meet as distinct (host, path start, fetch time) rows
+The join is on equality: a capture's keys are its host's suffixes of as many labels as some pattern of the list has,
+each alone and with every leading part of the path up to the list's deepest pattern. Captures of one host meet as distinct (host, path start, fetch time) rows
 before they are joined, so that a host with very many captures of few paths is cheap; a small list is broadcast
 after its size is counted, and a larger one is joined by shuffles in which the captures' keys are salted.
 """
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 #: Intervals up to this number are broadcast; SALTS copies of a longer list meet salted captures.
 SENT, SALTS = 200_000, 16
-#: Suffixes of a host that are looked up: the host itself and its parents down to two labels.
-MOST_LABELS = 8
 ENTRIES_SCHEMA = "list string, pattern string, since timestamp, listed boolean"
 
 #: The dated lists that the query uses: (list, pattern, since, listed).
@@ -65,11 +63,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     return own.select("list", "pattern", F.col("since").alias("from"), following.alias("until"), "listed").where("listed").drop("listed")
 
 
-def keys(host: Column, parts: Column, deepest: int) -> Column:
-    """Every pattern that would match: the host's suffixes, each with 0 to `deepest` leading parts of the path."""
+def keys(host: Column, parts: Column, lengths: list[int], deepest: int) -> Column:
+    """Every pattern that would match: the host's suffixes of so many labels, each with 0 to `deepest` leading parts of the path."""
     labels = F.split(host, r"\.")
-    first = F.greatest(F.size(labels) - MOST_LABELS, F.lit(0))
-    suffixes = F.transform(F.sequence(first, F.greatest(F.size(labels) - 2, first)), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.size(labels))
+    suffixes = F.transform(fitting, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     starts = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(deepest))), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, F.greatest(i, F.lit(1))), "/"))))
     return F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, p)))))
 
@@ -82,12 +80,13 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     """
     own = captures.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"), F.col(f"`{time_col}`").cast("timestamp").alias("fetched"))
     active = intervals(entries)
-    n, deepest = active.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0))).first()
+    labels = F.size(F.split(F.split("pattern", "/")[0], r"\."))
+    n, lengths, deepest = active.agg(F.count("*"), F.array_sort(F.collect_set(labels)), F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0))).first()
     parts = F.slice(F.filter(F.split("path", "/"), lambda p: p != ""), 1, max(1, deepest)) if deepest else F.expr("cast(array() as array<string>)")
     own = own.withColumn("start", F.lower(F.array_join(parts, "/"))).drop("path")
     met = own.where("host <> '' and fetched is not null").select("host", "start", "fetched").distinct()
     start = F.when(F.col("start") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("start", "/"))
-    wide = met.withColumn("pattern", F.explode(keys(F.col("host"), start, deepest)))
+    wide = met.withColumn("pattern", F.explode(keys(F.col("host"), start, lengths, deepest)))
     if n <= SENT:
         held, on = F.broadcast(active), ["pattern"]
     else:

@@ -60,3 +60,15 @@ def test_empty(spark):
     pages = spark.createDataFrame(PAGES, SCHEMA)
     assert not any(r["blocked"] for r in urlfilter.evaluate(pages, none).collect())
     assert urlfilter.evaluate(spark.createDataFrame([], SCHEMA), spark.createDataFrame(ENTRIES, urlfilter.ENTRIES_SCHEMA)).count() == 0
+
+
+def test_any_number_of_labels(spark, monkeypatch):
+    long = ".".join("abcdefghij") + ".example.org"
+    entries = [("l", long, T(1, 1), True), ("m", "d." + long.split(".d.")[1] + "/x", T(1, 1), True), ("n", "net", T(1, 1), True), ("n", "net", T(5, 1), False)]
+    pages = [(1, f"http://{long}/", T(2, 1)), (2, f"http://www.{long}/x/y", T(2, 1)), (3, f"http://z{long}/x", T(2, 1)), (4, "http://example.org/x", T(2, 1)), (5, "http://a.b.net", T(2, 1)), (6, "http://net/", T(2, 1)), (7, "http://a.net", T(6, 1)), (8, "http://a.b", T(2, 1))]
+    monkeypatch.setattr(f"{__name__}.ENTRIES", entries)
+    monkeypatch.setattr(f"{__name__}.PAGES", pages)
+    assert [plain(u, t) for _, u, t in pages] == [["l"], ["l", "m"], ["m"], [], ["n"], ["n"], [], []]
+    check(spark)
+    monkeypatch.setattr(urlfilter, "SENT", 0)
+    check(spark)
