@@ -173,3 +173,10 @@ def test_judged_items(spark):
     scores = U.Pass("three", {"*": (U.Axis("score", ("eq", 1)),)}, id_field="rid", scores_key="rubric_scores")
     told = frame(spark, [(1, '{"rubric_scores": {"r1": 1, "r2": 0}}', "p")], "row_id long, judge_response string, document_type string")
     assert {r["item_id"]: r["item_pass"] for r in U.judged_items(told, scores).collect()} == {"r1": True, "r2": False}
+
+
+def test_queries_of_every_length_are_answered(spark):
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [1.0, 0.0, 0.0]), (4, [1.0])], "doc_id long, embedding array<double>")
+    asked = spark.createDataFrame([(10, [0.0, 1.0]), (11, [0.0, 0.0, 1.0]), (12, [2.0]), (13, [1.0] * 5)], "query_id long, embedding array<double>")
+    found = sorted((r["query_id"], r["doc_id"], r["rank"]) for r in R.top_k(docs, asked, 3).collect())
+    assert found == [(10, 1, 2), (10, 2, 1), (11, 3, 1), (12, 4, 1)]
