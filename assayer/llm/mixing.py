@@ -6,32 +6,41 @@ one more pass. A tree splits the quotas among the output shards: each node deals
 halves by a multivariate-hypergeometric draw, so every quota is met exactly and shards hold what
 random dealing without replacement would give them. A shard's share of a source is an interval of draw
 positions; a keyed permutation of the source's block numbers maps positions to blocks, so that shards
-draw disjoint blocks without talking to each other, and a hash orders the draws within a shard.
+draw disjoint blocks without talking to each other. A block that no shard's interval holds isn't drawn.
+Within a shard a second keyed permutation gives every block its place, which is the local shuffle.
 
-What the driver holds are one row per source and the shards' quotas, never documents. Draw positions
-follow from the seed and the data alone, so that reruns agree whatever the partitioning.
+The driver holds one row per source and the shards' quotas, CELLS numbers at most, never documents. Draw
+positions and places follow from the seed and the data alone, so that reruns agree whatever the partitioning.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, on_workers
+from .common import arrow_map, cut, on_workers, slices
 
 WEIGHTS, SHARE, MOST_PASSES, SEED = (3, 1, 2), 1.5, 2, 42
 #: Words in a block; small sources have smaller ones, about FINE of them.
 BLOCK, FINE = 64, 512
-#: Words in an output shard.
-SHARD = 50_000_000
-#: Buckets in which a source's documents are put in order; no task holds more than a few.
-BUCKETS = 1024
+#: Words in an output shard; shards are larger where sources times shards would exceed CELLS quotas.
+SHARD, CELLS = 1_000_000, 4_000_000
+#: Words in a bucket in which a source's documents are put in order: their number follows the largest source.
+BUCKET = 2_000_000
+#: Blocks of a shard that are sorted together.
+PIECE = 1 << 14
+#: Bytes of text that are searched for words at once; a longer text is searched alone.
+TOGETHER = 16 << 20
+#: Populations from which numpy draws.
+DRAWN = 10**9
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = MOST_PASSES) -> dict[str | None, float]:
@@ -54,25 +63,40 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 @dataclass(frozen=True)
 class Plan:
-    """For each source, by number: size, target, block length, blocks, draws; and the shards' intervals of draws."""
+    """For each source, by number: size, target, block length and blocks; and the shards' intervals of draws."""
 
     names: tuple[str | None, ...]
     size: tuple[int, ...]
     target: tuple[float, ...]
     block: tuple[int, ...]
     blocks: tuple[int, ...]
-    draws: tuple[int, ...]
     ends: np.ndarray  # [shard, source]: end of the shard's interval
     seed: int
 
+    @functools.cached_property
+    def before(self) -> np.ndarray:
+        """[shard, source]: draws of the shard from the sources before; the last column has all its draws."""
+        own = np.diff(self.ends, axis=0, prepend=0)
+        return np.concatenate([np.zeros((len(own), 1), np.int64), np.cumsum(own, axis=1)], axis=1)
+
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < 10**9:
+    """Of n draws without replacement, how many are good.
+
+    Beyond numpy's range a uniform number is looked up in the distribution itself, summed from the ratio of each probability
+    to the next over ten deviations about the mode; what lies outside is less than the uniform number can tell.
+    """
+    total = good + bad
+    if total < DRAWN:
         return int(rng.hypergeometric(good, bad, n))
-    total = good + bad  # the normal limit, rounded into the support
-    mean = n * good / total
-    sd = math.sqrt(max(0.0, mean * (bad / total) * (total - n) / (total - 1)))
-    return int(min(max(round(rng.normal(mean, sd)), n - bad, 0), good, n))
+    mode = (good + 1) * (n + 1) // (total + 2)
+    reach = int(10 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / (total - 1)))) + 64
+    low, high = max(0, n - bad, mode - reach), min(good, n, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    step = np.log(good - k) - np.log(k + 1) + np.log(n - k) - np.log(bad - n + k + 1)
+    weight = np.concatenate([[0.0], np.cumsum(step)])
+    reached = np.cumsum(np.exp(weight - weight.max()))
+    return low + min(int(np.searchsorted(reached, rng.random() * reached[-1], side="right")), high - low)
 
 
 def split(draws: tuple[int, ...], shards: int, seed: int = SEED) -> np.ndarray:
@@ -107,8 +131,8 @@ def make_plan(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS
     for s, n, b, k in zip(names, size, length, blocks):
         full = min(passes, int(want[s] // n)) if n else 0
         draws.append(full * k + min(k if full < passes else 0, round((want[s] - full * n) / b)) if n else 0)
-    shards = max(1, -(-int(sum(want.values())) // shard))
-    return Plan(names, size, tuple(want[s] for s in names), length, blocks, tuple(draws), np.cumsum(split(tuple(draws), shards, seed), axis=0), seed)
+    shards = max(1, min(-(-int(sum(want.values())) // shard), CELLS // max(1, len(names))))
+    return Plan(names, size, tuple(want[s] for s in names), length, blocks, np.cumsum(split(tuple(draws), shards, seed), axis=0), seed)
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -117,189 +141,268 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
-    """Positions of 0 .. n - 1 under a keyed permutation: a Feistel network over the fewest bits, walked until it lands in the domain."""
-    bits = max(2, (n - 1).bit_length())
-    low = np.uint64(bits // 2)
-    low_mask, high_mask = np.uint64((1 << (bits // 2)) - 1), np.uint64((1 << (bits - bits // 2)) - 1)
-    keys = [np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF) for r in range(4)]
+def permuted(x: np.ndarray, n: int | np.ndarray, key: int | np.ndarray) -> np.ndarray:
+    """Positions of 0 .. n - 1 under a keyed permutation: a Feistel network over the fewest bits, walked until it lands in the domain.
+
+    n and key may differ by element.
+    """
+    size = np.broadcast_to(np.asarray(n, np.uint64), x.shape)
+    bits = np.maximum(np.frexp((size - np.uint64(1)).astype(np.float64))[1], 2).astype(np.uint64)
+    key = np.broadcast_to(np.asarray(key, np.uint64), x.shape) * np.uint64(0x9E3779B97F4A7C15)
+    low = bits >> np.uint64(1)
+    low_mask, high_mask = (np.uint64(1) << low) - np.uint64(1), (np.uint64(1) << (bits - low)) - np.uint64(1)
+    turns = [np.uint64(r * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF) for r in range(4)]
     x = x.astype(np.uint64)
     out = np.full(len(x), -1, np.int64)
     todo = np.arange(len(x))
     while len(todo):
         a, b = x >> low, x & low_mask
         for r in (0, 2):
-            a = a ^ (_mix64(b + keys[r]) & high_mask)
-            b = b ^ (_mix64(a + keys[r + 1]) & low_mask)
+            a = a ^ (_mix64(b + key + turns[r]) & high_mask)
+            b = b ^ (_mix64(a + key + turns[r + 1]) & low_mask)
         x = (a << low) | b
-        done = x < np.uint64(n)
+        done = x < size
         out[todo[done]] = x[done]
-        x, todo = x[~done], todo[~done]
+        left = ~done
+        x, todo, size, key, low, low_mask, high_mask = (v[left] for v in (x, todo, size, key, low, low_mask, high_mask))
     return out
 
 
 @dataclass(frozen=True)
 class Draws:
-    """Blocks drawn of many documents, by document and pass: words begin .. end of document `row`, for a shard."""
+    """Blocks drawn of many documents, by document, pass and shard: words begin .. end of document `row`, and the block's place in its shard."""
 
     row: np.ndarray
     turn: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     shard: np.ndarray
-    position: np.ndarray
+    place: np.ndarray
 
 
 def drawn(plan: Plan, source: np.ndarray, offset: np.ndarray, size: np.ndarray, passes: int = MOST_PASSES) -> Draws:
-    """What the mix draws of documents at `offset` of their source's stream.
+    """What the shards draw of documents at `offset` of their source's stream.
 
     Word numbers count within the document; blocks at its ends may belong to its neighbours in part. Documents of
     a source are handled together, block by block and not one by one.
     """
     found: list[tuple[np.ndarray, ...]] = []
-    for s in np.unique(source):
+    for s in np.unique(source[size > 0]):
         rows = np.flatnonzero((source == s) & (size > 0))
-        length, n, draws = plan.block[s], plan.blocks[s], plan.draws[s]
+        length, n, ends = plan.block[s], plan.blocks[s], plan.ends[:, s]
         first = offset[rows] // length
         count = (offset[rows] + size[rows] - 1) // length + 1 - first
         row = np.repeat(rows, count)
         block = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
         for turn in range(passes):
-            if turn * n >= draws:
-                break
             at = permuted(block, n, plan.seed + 1_000_003 * int(s) + turn) + turn * n
-            taken = at < draws
-            r, b = row[taken], block[taken] * length - offset[row[taken]]
-            found.append((r, np.full(len(r), turn), np.maximum(b, 0), np.minimum(b + length, size[r]), np.searchsorted(plan.ends[:, s], at[taken], side="right"), at[taken]))
+            shard = np.searchsorted(ends, at, side="right")
+            taken = shard < len(ends)
+            r, own, b = row[taken], shard[taken], block[taken] * length - offset[row[taken]]
+            local = plan.before[own, s] + at[taken] - np.where(own > 0, ends[own - 1], 0)
+            place = permuted(local, plan.before[own, -1], plan.seed + 7_368_787 * (own + 1))
+            found.append((r, np.full(len(r), turn), np.maximum(b, 0), np.minimum(b + length, size[r]), own, place))
     parts = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 6
-    order = np.lexsort((parts[2], parts[1], parts[0]))
+    order = np.lexsort((parts[2], parts[4], parts[1], parts[0]))
     return Draws(*(p[order] for p in parts))
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = False) -> DataFrame:
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+@dataclass(frozen=True)
+class Words:
+    """The words of a column of texts: all bytes, where each text begins (and the end), where each word begins, and each text's first word."""
+
+    data: np.ndarray
+    text: np.ndarray
+    start: np.ndarray
+    first: np.ndarray
+
+    @property
+    def size(self) -> np.ndarray:
+        return np.diff(self.first)
+
+
+def words_of(column: pa.Array) -> Words:
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    text = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    own = np.frombuffer(data, np.uint8)[text[0] : text[-1]] if data is not None else np.zeros(0, np.uint8)
+    text = text - text[0]
+    word = ~_SPACE[own]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    heads = text[:-1][text[:-1] < len(own)]
+    begins[heads] = word[heads]
+    start = np.flatnonzero(begins)
+    return Words(own, text, start, np.searchsorted(start, text))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    own = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")]
-    return docs.select(*own, F.xxhash64(text).alias("digest"), *([F.struct(*docs.columns).alias("row"), text.alias("text")] if keep_text else []))
+    return [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.xxhash64(text).alias("digest"), text.alias("text")]
 
 
-def placed(rows: DataFrame, totals: DataFrame) -> DataFrame:
-    """`rows` with `offset`, where the document begins in its source's stream of words.
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, digest, size), a row for each row of `docs`; a null text has no words."""
 
-    Documents of a source are ordered by bucket, then id, size and text digest. A bucket is a hash of these, so that
-    a source with a third of all rows is ordered in many tasks; `totals` has the words of each bucket.
-    """
-    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = totals.select("key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("key", "bucket").orderBy("doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return own.join(start, ["key", "bucket"]).withColumn("offset", F.col("offset") + F.col("start")).drop("start")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words_of(batch.column(3)).size, pa.int64())], names=["doc_id", "source", "digest", "size"])
 
+    on_workers(docs.sparkSession)
+    return docs.select(*_keyed(docs, id_col, text_col, source_col)).mapInArrow(arrow_map(run, 3), "doc_id long, source string, digest long, size long")
 
-def bucketed(rows: DataFrame) -> DataFrame:
-    """Rows with the key of their source (never null) and their bucket."""
-    return rows.withColumns({"key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "bucket": F.pmod(F.xxhash64("doc_id", "size", "digest"), F.lit(BUCKETS))})
 
+def planned(rows: DataFrame, **parameters) -> Plan:
+    """The plan for sized rows; the driver reads one number for each source."""
+    sizes = {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum("size")).limit(CELLS + 1).collect()}
+    if len(sizes) > CELLS:
+        raise ValueError(f"more than {CELLS} sources can't be mixed")
+    return make_plan(sizes, **parameters)
 
-def planned(rows: DataFrame, **parameters) -> tuple[DataFrame, Plan]:
-    """Bucket totals of sized and bucketed rows, and the plan made from them."""
-    totals = cut(rows.groupBy("source", "key", "bucket").agg(F.sum("size").alias("words")))
-    sizes = {r[0]: r[1] for r in totals.groupBy("source").agg(F.sum("words")).collect()}
-    return totals, make_plan(sizes, **parameters)
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)).cast("long").alias("bucket")
 
-def _number(plan: Plan):
-    """The source's number as a column, for the few sources there are."""
-    names = F.create_map(*(x for i, s in enumerate(plan.names) if s is not None for x in (F.lit(s), F.lit(i)))) if any(s is not None for s in plan.names) else None
-    missing = F.lit(plan.names.index(None) if None in plan.names else -1)
-    return F.when(F.col("source").isNull(), missing).otherwise(F.try_element_at(names, F.col("source"))) if names is not None else missing
 
+def _heads(rows: DataFrame, buckets: int) -> DataFrame:
+    """(source, bucket, start): where each bucket of documents begins in its source's stream of words."""
+    words = rows.groupBy("source", _bucket(buckets)).agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return words.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).cast("long").alias("start"))
 
-def allotment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): what the mix takes of each row of `docs`.
 
-    A null text has no words and none are taken; a null source is a source of its own, the last in order.
-    Repeated rows are drawn one by one. An empty table gives an empty result. Targets are met to within a block,
-    and no document is taken more than twice.
+def _slices(words: Words, own: Draws, by_block: bool) -> tuple[np.ndarray, list[bytes]]:
+    """The first draw of each output text, and the texts: one for each block, or for each document, pass and shard.
+
+    Neighbouring blocks are joined as they stand, others by a space.
+    """
+    at = words.first[own.row]
+    size = words.size[own.row]
+    padded = np.append(words.start, len(words.data))
+    a = np.where(own.begin == 0, words.text[own.row], padded[at + own.begin])
+    z = np.where(own.end == size, words.text[own.row + 1], padded[at + own.end])
+    data = words.data.tobytes()
+    if by_block or not len(a):
+        return np.arange(len(a)), [data[i:j] for i, j in zip(a.tolist(), z.tolist())]
+    group = np.ones(len(a), bool)
+    group[1:] = (own.row[1:] != own.row[:-1]) | (own.turn[1:] != own.turn[:-1]) | (own.shard[1:] != own.shard[:-1])
+    apart = group.copy()
+    apart[1:] |= own.begin[1:] != own.end[:-1]
+    first = np.flatnonzero(apart)
+    parts = [data[i:j] for i, j in zip(a[first].tolist(), z[np.append(first[1:], len(a)) - 1].tolist())]
+    heads = np.flatnonzero(group[first])
+    out = []
+    for i, j in zip(heads.tolist(), np.append(heads[1:], len(first)).tolist()):
+        out.append(parts[i] if j == i + 1 else b"".join(x if x[-1:].isspace() else x + b" " for x in parts[i : j - 1]) + parts[j - 1])
+    return first[heads], out
+
+
+#: What dealt() gives; `row` follows where columns are carried.
+DEALT = "source string, bucket long, number long, doc_id long, size long, shard int, place long, pass int, words string"
+
+
+def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", by_block: bool = True, undrawn: bool = False, carried: tuple[str, ...] = (), **parameters) -> tuple[DataFrame, Plan]:
+    """The drawn texts as DEALT rows, dealt to their shards and in the order of their places, and the plan.
+
+    (source, bucket, number) identifies the row of `docs`. `undrawn` adds a row without a shard for every document of
+    which nothing is drawn; `carried` columns come as a struct `row` with the fields c0, c1, ...
+
+    Documents of a source are ordered by bucket, then id and text digest; a bucket is a hash of these and begins with a row
+    that tells where it stands in the stream, so that a source with a third of all rows is ordered in many tasks by one shuffle.
     """
-    rows = cut(bucketed(sized(docs, id_col, text_col, source_col)))
-    totals, plan = planned(rows, **parameters)
+    spark = docs.sparkSession
+    rows = cut(sized(docs, id_col, text_col, source_col))
+    plan = planned(rows, **parameters)
     passes = parameters.get("passes", MOST_PASSES)
-    sizes, wanted = np.array(plan.size, np.int64), np.array(plan.target, np.float64)
+    buckets = max(1, -(-max(plan.size, default=0) // BUCKET))
+    row = [F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried))).alias("row")] if carried else []
+    kind = [f"row {docs.select(*row).schema['row'].dataType.simpleString()}"] if carried else []
+    texts = docs.select(*_keyed(docs, id_col, text_col, source_col), *row).select("source", _bucket(buckets), F.lit(1).alias("edge"), F.lit(0).cast("long").alias("start"), "doc_id", "digest", "text", *(["row"] if carried else []))
+    none = [F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("digest"), F.lit("").alias("text"), *([F.lit(None).cast(texts.schema["row"].dataType).alias("row")] if carried else [])]
+    stream = texts.union(_heads(rows, buckets).select("source", "bucket", F.lit(0).alias("edge"), "start", *none))
+    stream = stream.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "edge", "doc_id", "digest")
+    names = pa.array(plan.names, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            number, size, offset = (batch.column(i).to_numpy() for i in (2, 3, 4))
-            own = drawn(plan, number, offset, size, passes)
-            taken = np.bincount(own.row, own.end - own.begin, len(size)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(sizes[number]), pa.array(wanted[number]), pa.array(taken)], names=["doc_id", "source", "size", "source_size", "target", "taken"])
+        offset_so_far = number_so_far = 0  # of the bucket that the last batch ended in
+        for whole in batches:
+            for batch in slices(whole, 6, TOGETHER):
+                head = np.flatnonzero(batch.column(2).to_numpy() == 0)
+                words = words_of(batch.column(6))
+                size, n = words.size, batch.num_rows
+                passed, place = np.cumsum(size) - size, np.arange(n)
+                cell = np.zeros(n, np.int64)
+                cell[head] = 1
+                cell = np.cumsum(cell)
+                begins = np.append(offset_so_far, batch.column(3).to_numpy()[head]) - np.append(0, passed[head])
+                counts = np.append(number_so_far, np.full(len(head), -1)) - np.append(0, place[head])
+                offset, number = begins[cell] + passed, counts[cell] + place
+                offset_so_far, number_so_far = int(offset[-1] + size[-1]), int(number[-1] + 1)
+                source = pc.index_in(batch.column(0), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+                own = drawn(plan, source, offset, size, passes)
+                first, made = _slices(words, own, by_block)
+                who, shard, at, turn = own.row[first], own.shard[first], own.place[first], own.turn[first]
+                if undrawn:
+                    real = np.ones(n, bool)
+                    real[head] = False
+                    real[who] = False
+                    rest = np.flatnonzero(real)
+                    spread = (offset[rest] + number[rest]) % (1 << 40)  # over many pieces
+                    who, shard, at, turn = np.append(who, rest), np.append(shard, np.full(len(rest), -1)), np.append(at, spread), np.append(turn, np.zeros(len(rest), np.int64))
+                    made = [*made, *[b""] * len(rest)]
+                index = pa.array(who, pa.int64())
+                taken = [batch.column(i).take(index) for i in (0, 1, 4)]
+                out = [taken[0], taken[1], pa.array(number[who], pa.int64()), taken[2], pa.array(size[who], pa.int64()), pa.array(shard, pa.int32()), pa.array(at, pa.int64()), pa.array(turn, pa.int32()), pa.array(made, pa.binary()).cast(pa.string())]
+                more = [batch.column(7).take(index)] if carried else []
+                yield pa.RecordBatch.from_arrays([*out, *more], names=["source", "bucket", "number", "doc_id", "size", "shard", "place", "pass", "words", *(["row"] if carried else [])])
+
+    on_workers(spark)
+    out = stream.mapInArrow(run, ", ".join([DEALT, *kind]))
+    piece = F.floor(F.col("place") / PIECE)
+    return out.repartition("shard", piece).sortWithinPartitions("shard", "place"), plan
 
-    on_workers(docs.sparkSession)
-    return placed(rows, totals).select("doc_id", "source", _number(plan).cast("long").alias("number"), "size", "offset").mapInArrow(run, "doc_id long, source string, size long, source_size long, target double, taken long")
 
+def allotment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, blocks, dealt): what the mix takes of each row of `docs`.
 
-def word_starts(text: bytes) -> list[int]:
-    """Where each word begins, and the length of the text."""
-    import re
+    The mix is made: blocks are drawn, dealt to their shards with their text and put in their places there; `taken` counts the
+    words of a row's blocks as the shards hold them, and `dealt` sums a hash of each block's shard and place.
 
-    return [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)] + [len(text)]
+    A null text has no words and none are taken; a null source is a source of its own, the last in order. A null id is an id. Repeated
+    rows are drawn one by one. Very long texts are cut into blocks like any other. Targets are met to within a block, ties between
+    documents go by text digest, and no document is taken more than twice. An empty table gives an empty result; extra columns of any name are not read.
+    """
+    blocks, plan = dealt(docs, id_col, text_col, source_col, by_block=True, undrawn=True, **parameters)
+    sizes, wanted = np.array(plan.size, np.int64), np.array(plan.target, np.float64)
+    names = pa.array(plan.names, pa.string())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = pc.index_in(batch.column(0), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(sizes[s]), pa.array(wanted[s]), pa.array(words_of(batch.column(8)).size, pa.int64())], names=["source", "bucket", "number", "doc_id", "size", "shard", "place", "source_size", "target", "taken"])
 
-def taken_text(text: bytes, starts: list[int], begin: np.ndarray, end: np.ndarray) -> bytes:
-    """The text of the given word ranges, which are in order; neighbours are joined as they stand."""
-    parts, i = [], 0
-    while i < len(begin):
-        j = i
-        while j + 1 < len(begin) and begin[j + 1] == end[j]:
-            j += 1
-        a, b = int(begin[i]), int(end[j])
-        parts.append(text[0 if a == 0 else starts[a] : starts[b]])
-        i = j + 1
-    return b"".join(x if x[-1:].isspace() or i == len(parts) - 1 else x + b" " for i, x in enumerate(parts))
+    counted = blocks.mapInArrow(run, "source string, bucket long, number long, doc_id long, size long, shard int, place long, source_size long, target double, taken long")
+    real = F.col("shard") >= 0
+    sums = [F.sum("taken").alias("taken"), F.count_if(real).alias("blocks"), F.sum(F.when(real, F.pmod(F.xxhash64("shard", "place"), F.lit(1 << 32))).otherwise(0)).alias("dealt")]
+    own = counted.groupBy("source", "bucket", "number", "doc_id", "size", "source_size", "target").agg(*sums)
+    return own.select("doc_id", "source", "size", "source_size", "target", "taken", "blocks", "dealt")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", by_block: bool = True, **parameters) -> DataFrame:
-    """The mix itself: `docs`' columns with the text drawn, plus shard, position and pass.
+    """The mix itself: `docs`' columns with the text drawn, plus shard, position and pass, in the shards' order.
 
-    by_block: a row for each block drawn, dealt to its shard and shuffled there. Otherwise a row for each document
-    and pass with all its drawn text in order, in the shard of its first block; a document that a pass takes whole
-    keeps its text as it is.
+    by_block: a row for each block drawn. Otherwise a row for each document, pass and shard with all its text in that shard, at the
+    place of the first of its blocks; a document that a shard takes whole keeps its text as it is. A column of `docs` that is called
+    shard, position or pass is returned with `_doc` added to its name. Other odd rows are treated as in allotment().
     """
-    rows = bucketed(sized(docs, id_col, text_col, source_col, keep_text=True))
-    totals, plan = planned(bucketed(sized(docs, id_col, text_col, source_col)), **parameters)
-    passes = parameters.get("passes", MOST_PASSES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = drawn(plan, *(batch.column(c).to_numpy() for c in (1, 3, 2)), passes)
-            # the draws of one document and pass are on end
-            first = np.flatnonzero(np.r_[True, (own.row[1:] != own.row[:-1]) | (own.turn[1:] != own.turn[:-1])][: len(own.row)])
-            text, size = batch.column(0).cast(pa.binary()), batch.column(2).to_numpy()
-            made: list[tuple] = []
-            last, t, starts = -1, b"", [0]
-            for a, z in zip(first.tolist(), [*first[1:].tolist(), len(own.row)]):
-                i = int(own.row[a])
-                if i != last:
-                    last, t = i, text[i].as_py()
-                    starts = word_starts(t)
-                b, e = own.begin[a:z], own.end[a:z]
-                if by_block:
-                    made += [(i, taken_text(t, starts, b[j : j + 1], e[j : j + 1]).decode(), int(own.shard[a + j]), int(own.position[a + j]), int(own.turn[a])) for j in range(z - a)]
-                else:
-                    whole = int((e - b).sum()) == size[i]
-                    made.append((i, (t if whole else taken_text(t, starts, b, e)).decode(), int(own.shard[a]), int(own.position[a]), int(own.turn[a])))
-            who, words, shard, at, turn = zip(*made) if made else ((),) * 5
-            row = batch.column(4).take(pa.array(who, pa.int64()))
-            yield pa.RecordBatch.from_arrays([row, pa.array(words, pa.string()), pa.array(shard, pa.int32()), pa.array(at, pa.int64()), pa.array(turn, pa.int32())], names=["row", "words", "shard", "position", "pass"])
-
-    on_workers(docs.sparkSession)
-    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
-    own = placed(rows.withColumn("row", F.col("row").dropFields(text_col) if len(docs.columns) > 1 else F.struct(F.lit(1))), totals)
-    kind = docs.select(others.alias("row")).schema["row"].dataType.simpleString()
-    out = own.select("text", _number(plan).cast("long").alias("number"), "size", "offset", "row").mapInArrow(run, f"row {kind}, words string, shard int, position long, pass int")
-    if by_block:
-        out = out.repartition("shard", F.pmod("position", F.lit(64))).sortWithinPartitions("shard", F.xxhash64(F.lit(plan.seed), "position", "words"))
-    return out.select(*(F.col("words").alias(text_col) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns), "shard", "position", "pass")
+    carried = tuple(c for c in docs.columns if c != text_col)
+    out, _ = dealt(docs, id_col, text_col, source_col, by_block, carried=carried, **parameters)
+    own = {"shard", "position", "pass"}
+    back = {c: F.col(f"row.c{i}").alias(f"{c}_doc" if c in own else c) for i, c in enumerate(carried)}
+    return out.select(*(F.col("words").alias(text_col) if c == text_col else back[c] for c in docs.columns), "shard", F.col("place").alias("position"), "pass")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "blocks", "dealt")

@@ -84,3 +84,80 @@ def test_whole_documents_keep_their_text(spark):
 def test_empty(spark):
     assert mixing.allotment(spark.createDataFrame([], DOCS)).count() == 0
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_large_populations(monkeypatch):
+    """Beyond numpy's range the draw follows the distribution's own probabilities."""
+    import math
+
+    good, bad, n = 30, 45, 20
+    total = math.comb(good + bad, n)
+    want = [math.comb(good, k) * math.comb(bad, n - k) / total for k in range(n + 1)]
+    monkeypatch.setattr(mixing, "DRAWN", 1)
+    rng = np.random.default_rng(1)
+    got = np.bincount([mixing._hypergeometric(rng, good, bad, n) for _ in range(40_000)], minlength=n + 1) / 40_000
+    assert np.abs(got - want).max() < 0.01
+    assert mixing._hypergeometric(rng, 5, 0, 3) == 3 and mixing._hypergeometric(rng, 0, 5, 3) == 0 and mixing._hypergeometric(rng, 4, 4, 8) == 4
+    monkeypatch.undo()
+    rng = np.random.default_rng(2)
+    some = [mixing._hypergeometric(rng, 4 * 10**11, 6 * 10**11, 5 * 10**11) for _ in range(60)]
+    sd = (5e11 * 0.4 * 0.6 * 0.5) ** 0.5
+    assert abs(np.mean(some) - 2e11) < 0.6 * sd and 0.7 * sd < np.std(some) < 1.3 * sd
+    assert mixing.split((3 * 10**12, 10**12 + 7), 16).sum(axis=0).tolist() == [3 * 10**12, 10**12 + 7]
+
+
+def plain_shards(plan, sizes):
+    """What each shard holds, block by block: (shard, source) to the words drawn."""
+    held = collections.Counter()
+    for s, n in enumerate(sizes):
+        for turn in range(2):
+            places = mixing.permuted(np.arange(plan.blocks[s]), plan.blocks[s], plan.seed + 1_000_003 * s + turn) + turn * plan.blocks[s]
+            for block, at in enumerate(places.tolist()):
+                shard = int(np.searchsorted(plan.ends[:, s], at, side="right"))
+                if shard < len(plan.ends):
+                    held[shard, s] += min((block + 1) * plan.block[s], n) - block * plan.block[s]
+    return held
+
+
+def test_shards_hold_their_quotas(spark):
+    given = docs(spark)
+    sizes = collections.Counter()
+    for r in rows():
+        sizes[r[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    plan = mixing.make_plan(dict(sizes), shard=20_000)
+    want = plain_shards(plan, [sizes[s] for s in plan.names])
+    for by_block in (True, False):
+        got = collections.Counter()
+        out = mixing.mix(given, by_block=by_block, shard=20_000).collect()
+        for r in out:
+            got[r["shard"], plan.names.index(r["source"])] += len(r["text"].split())
+        assert +got == +want
+    blocks = collections.defaultdict(list)
+    for r in mixing.mix(given, by_block=True, shard=20_000).collect():
+        blocks[r["shard"]].append(r["position"])
+    for places in blocks.values():  # places are shared only by the two ends of a block that two documents share
+        assert sorted(set(places)) == list(range(len(set(places))))
+
+
+def test_what_is_taken_follows_the_tree(spark, monkeypatch):
+    key = lambda r: tuple(map(str, r))
+    before = sorted(map(key, mixing.allotment(docs(spark), shard=20_000).collect()))
+    tree = mixing.split
+    monkeypatch.setattr(mixing, "split", lambda *a: tree(*a)[::-1])
+    other = sorted(map(key, mixing.allotment(docs(spark), shard=20_000).collect()))
+    assert [r[:6] for r in other] == [r[:6] for r in before] and other != before
+    monkeypatch.setattr(mixing, "split", lambda *a: 0 * tree(*a))
+    assert {r["taken"] for r in mixing.allotment(docs(spark), shard=20_000).collect()} == {0}
+
+
+def test_many_sources_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    made = spark.createDataFrame([(i, f"w{i} " * (1 + i % 3), "en", f"s{i}", 1) for i in range(400)], DOCS)
+    told = mixing.allotment(made).collect()
+    assert len(told) == 400 and all(r["taken"] <= 2 * r["size"] for r in told)
+    assert mixing.make_plan({str(i): 10 for i in range(5000)}, shard=1, block=1).ends.size <= mixing.CELLS
+    odd = made.withColumn("shard", F.lit(7)).withColumn("a.b", F.lit("c")).withColumn("pass", F.lit(8)).withColumn("start", F.lit(9)).withColumn("edge", F.lit(0)).withColumn("words", F.lit("x"))
+    out = mixing.mix(odd)
+    assert len(out.columns) == len(set(out.columns))
+    assert {tuple(r) for r in out.select("shard_doc", "`a.b`", "pass_doc", "start", "edge", "words").distinct().collect()} == {(7, "c", 8, 9, 0, "x")}
