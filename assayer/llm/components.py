@@ -26,7 +26,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every end of an edge (a, b long); root is the smallest node reachable.
+    """(node, root) for every end of an edge (a, b of any type with an order); root is the smallest node reachable.
 
     Each round joins the edges with one minimum per node, which AQE can split where a node
     has very many edges; a round's edges are checkpointed, and two numbers come to the driver.

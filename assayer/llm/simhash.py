@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, cut, id_and_text, on_workers
+from .common import arrow_map, as_bytes, cut, on_workers
 from .components import components
 
 SEED, SHINGLE, MOST_BITS = 42, 4, 4
@@ -67,14 +67,16 @@ def fingerprint_batch(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fp, *carried): the 64 bits of each whole text's SimHash, as a signed long, with the columns of the row that are carried."""
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)))
+    names = ["doc_id", "fp", *own.columns[2:]]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = fingerprint_batch(as_bytes(batch.column(1)), width).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=["doc_id", "fp", *carried])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=names)
 
     on_workers(docs.sparkSession)
-    own = id_and_text(docs, id_col, text_col) if not carried else docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("__text"), *carried)
-    return own.mapInArrow(arrow_map(run), ", ".join(["doc_id long", "fp long", *(f"{x} {t}" for x, t in docs.select(*carried).dtypes)]))
+    found = own.mapInArrow(arrow_map(run), ", ".join(["doc_id long", "fp long", *(f"{x} {t}" for x, t in own.dtypes[2:])]))
+    return found.select("doc_id", "fp", *(F.col(f"c{i}").alias(c) for i, c in enumerate(carried)))
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -150,48 +152,70 @@ def links_in_cells(cell: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndar
     return np.concatenate(a or empty), np.concatenate(b or empty)
 
 
+NODE = "struct<none: boolean, low: bigint, fp: bigint>"
+
+
+def node(low: Column, fp: Column) -> Column:
+    """A fingerprint as a node of the graph: nodes are in the order of their smallest doc_id (null last), so that the root of a component has the component's."""
+    return F.struct(low.isNull().alias("none"), F.coalesce(low, F.lit(0)).alias("low"), fp.alias("fp"))
+
+
 def links(distinct: DataFrame, bits: int = MOST_BITS, groups: int | None = None) -> DataFrame:
-    """(a, b): links that connect all fingerprints (column fp, distinct) within `bits` of each other."""
+    """(a, b): links between nodes that connect all fingerprints within `bits` of each other.
+
+    distinct: (fp, low), each fingerprint once with its smallest doc_id, which travels with it, so that no join by fingerprint follows.
+    """
     code = embed_column(F.col("fp"))
     cells = F.array(*(F.xxhash64(F.lit(i), code.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks(groups or groups_for(distinct.count(), bits), bits))))
-    rows = distinct.select(F.explode(cells).alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp")
+    rows = distinct.select(F.explode(cells).alias("cell"), "fp", F.coalesce("low", F.lit(0)).alias("low"), F.col("low").isNull().alias("none"))
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = links_in_cells(cell, fp, bits)
-            a, b = a.view(np.int64), b.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last cell, which the next batch may go on with
+        def found(cell: np.ndarray, fp: np.ndarray, low: np.ndarray, none: np.ndarray) -> pa.RecordBatch:
+            ends = links_in_cells(cell, fp, bits)
+            order = np.argsort(fp, kind="stable")
+            made = []
+            for x in ends:
+                at = order[np.searchsorted(fp[order], x)]
+                made.append(pa.StructArray.from_arrays([pa.array(none[at]), pa.array(low[at]), pa.array(x.view(np.int64))], names=["none", "low", "fp"]))
+            return pa.RecordBatch.from_arrays(made, names=["a", "b"])
+
+        held: list[tuple[np.ndarray, ...]] = []  # of the last cell, which the next batch may go on with
         for batch in batches:
-            cell = batch.column(0).to_numpy()
-            fp = batch.column(1).to_numpy().view(np.uint64)
+            own = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False))
+            cell = own[0]
             if not len(cell):
                 continue
             last = int(np.searchsorted(cell, cell[-1]))
             if last or (held and held[-1][0][0] != cell[0]):
-                yield found(*(np.concatenate(x) for x in zip(*held, (cell[:last], fp[:last]))))
+                yield found(*(np.concatenate(x) for x in zip(*held, tuple(x[:last] for x in own))))
                 held = []
-            held.append((cell[last:], fp[last:]))
+            held.append(tuple(x[last:] for x in own))
         if held:
             yield found(*(np.concatenate(x) for x in zip(*held)))
 
     on_workers(distinct.sparkSession)
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, f"a {NODE}, b {NODE}").distinct()
+
+
+def rooted(distinct: DataFrame, bits: int = MOST_BITS) -> DataFrame:
+    """`distinct` (fp, low, ...) with `root`, the node that is its component's smallest; its own where it has no link."""
+    found = components(links(distinct.select("fp", "low"), bits)).select(F.col("node.fp").alias("fp"), F.col("root").alias("found"))
+    return distinct.join(found, "fp", "left").withColumn("root", F.coalesce("found", node(F.col("low"), F.col("fp")))).drop("found")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MOST_BITS, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over fingerprints that differ in at most `bits` bits.
 
-    Null texts count as empty and texts without a word have fingerprint 0, linked like any other. Repeated
-    rows each get a row. A null doc_id is never the smallest unless the component has no other. An empty
-    table gives an empty result. Copies meet as one distinct fingerprint and are never expanded into pairs.
+    Null texts count as empty and texts without a word have fingerprint 0, linked like any other; very long texts are read whole. Repeated
+    rows each get a row, and equal ids may be in several components. A null doc_id is never the smallest unless the component has no other.
+    An empty table gives an empty result; columns besides the two are not read, whatever their names. Copies meet as one distinct
+    fingerprint and are never expanded into pairs; nothing is grouped or joined by component.
     """
     own = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    member = distinct.join(components(links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    return own.join(member.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    member = rooted(distinct, bits).select("fp", F.when(~F.col("root.none"), F.col("root.low")).alias("component_id"))
+    return own.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
