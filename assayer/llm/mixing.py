@@ -35,8 +35,8 @@ BLOCK, FINE = 64, 512
 SHARD, CELLS = 1_000_000, 4_000_000
 #: Words in a bucket in which a source's documents are put in order: their number follows the largest source.
 BUCKET = 2_000_000
-#: Blocks of a shard that are sorted together.
-PIECE = 1 << 14
+#: Blocks that are sorted together, at most; fewer where there are few pieces for each shuffle partition.
+PIECE, PIECES = 1 << 14, 16
 #: Bytes of text that are searched for words at once; a longer text is searched alone.
 TOGETHER = 16 << 20
 #: Populations from which numpy draws.
@@ -299,15 +299,13 @@ def _slices(words: Words, own: Draws, by_block: bool) -> tuple[np.ndarray, list[
     return first[heads], out
 
 
-#: What dealt() gives; `row` follows where columns are carried.
-DEALT = "source string, bucket long, number long, doc_id long, size long, shard int, place long, pass int, words string"
+def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", by_block: bool = True, carried: tuple[str, ...] | None = None, **parameters) -> tuple[DataFrame, Plan]:
+    """The drawn texts, dealt to their shards and in the order of their places, and the plan.
 
-
-def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", by_block: bool = True, undrawn: bool = False, carried: tuple[str, ...] = (), **parameters) -> tuple[DataFrame, Plan]:
-    """The drawn texts as DEALT rows, dealt to their shards and in the order of their places, and the plan.
-
-    (source, bucket, number) identifies the row of `docs`. `undrawn` adds a row without a shard for every document of
-    which nothing is drawn; `carried` columns come as a struct `row` with the fields c0, c1, ...
+    Rows have `spot`, the place in the row of all shards, and `words`, the text. With `carried` columns they have shard, place and pass
+    too, and the columns as a struct `row` with the fields c0, c1, ... Without, they have `start`, where the document stands in all sources'
+    words, and every document has a row of its own besides, with a negative spot, its doc_id, source and size; as documents
+    without a word stand nowhere, `lone` tells them apart.
 
     Documents of a source are ordered by bucket, then id and text digest; a bucket is a hash of these and begins with a row
     that tells where it stands in the stream, so that a source with a third of all rows is ordered in many tasks by one shuffle.
@@ -317,13 +315,18 @@ def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     plan = planned(rows, **parameters)
     passes = parameters.get("passes", MOST_PASSES)
     buckets = max(1, -(-max(plan.size, default=0) // BUCKET))
-    row = [F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried))).alias("row")] if carried else []
-    kind = [f"row {docs.select(*row).schema['row'].dataType.simpleString()}"] if carried else []
+    row = [F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried or ()))).alias("row")] if carried else []
     texts = docs.select(*_keyed(docs, id_col, text_col, source_col), *row).select("source", _bucket(buckets), F.lit(1).alias("edge"), F.lit(0).cast("long").alias("start"), "doc_id", "digest", "text", *(["row"] if carried else []))
     none = [F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("digest"), F.lit("").alias("text"), *([F.lit(None).cast(texts.schema["row"].dataType).alias("row")] if carried else [])]
     stream = texts.union(_heads(rows, buckets).select("source", "bucket", F.lit(0).alias("edge"), "start", *none))
     stream = stream.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "edge", "doc_id", "digest")
     names = pa.array(plan.names, pa.string())
+    base = np.cumsum((0, *plan.size), dtype=np.int64)
+    shards = np.cumsum(np.append(0, plan.before[:, -1]))
+    kind = "spot long, words string, start long, lone long, doc_id long, source string, size long"
+    if carried is not None:
+        kind = "spot long, words string, shard int, place long, pass int" + (f", row {texts.schema['row'].dataType.simpleString()}" if carried else "")
+    fields = [x.split(" ")[0] for x in kind.split(", row")[0].split(", ")] + (["row"] if carried else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offset_so_far = number_so_far = 0  # of the bucket that the last batch ended in
@@ -343,51 +346,56 @@ def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
                 source = pc.index_in(batch.column(0), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
                 own = drawn(plan, source, offset, size, passes)
                 first, made = _slices(words, own, by_block)
-                who, shard, at, turn = own.row[first], own.shard[first], own.place[first], own.turn[first]
-                if undrawn:
-                    real = np.ones(n, bool)
-                    real[head] = False
-                    real[who] = False
-                    rest = np.flatnonzero(real)
-                    spread = (offset[rest] + number[rest]) % (1 << 40)  # over many pieces
-                    who, shard, at, turn = np.append(who, rest), np.append(shard, np.full(len(rest), -1)), np.append(at, spread), np.append(turn, np.zeros(len(rest), np.int64))
-                    made = [*made, *[b""] * len(rest)]
-                index = pa.array(who, pa.int64())
-                taken = [batch.column(i).take(index) for i in (0, 1, 4)]
-                out = [taken[0], taken[1], pa.array(number[who], pa.int64()), taken[2], pa.array(size[who], pa.int64()), pa.array(shard, pa.int32()), pa.array(at, pa.int64()), pa.array(turn, pa.int32()), pa.array(made, pa.binary()).cast(pa.string())]
-                more = [batch.column(7).take(index)] if carried else []
-                yield pa.RecordBatch.from_arrays([*out, *more], names=["source", "bucket", "number", "doc_id", "size", "shard", "place", "pass", "words", *(["row"] if carried else [])])
+                who, shard, at = own.row[first], own.shard[first], own.place[first]
+                spot, text = pa.array(shards[shard] + at, pa.int64()), pa.array(made, pa.binary()).cast(pa.string())
+                if carried is not None:
+                    more = [batch.column(7).take(pa.array(who, pa.int64()))] if carried else []
+                    yield pa.RecordBatch.from_arrays([spot, text, pa.array(shard, pa.int32()), pa.array(at, pa.int64()), pa.array(own.turn[first], pa.int32()), *more], names=fields)
+                    continue
+                start = base[source] + offset
+                none = [pa.nulls(len(who), t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([spot, text, pa.array(start[who], pa.int64()), *none], names=fields)
+                real = np.flatnonzero(batch.column(2).to_numpy() == 1)
+                index, empty = pa.array(real, pa.int64()), size[real] == 0
+                lone = pa.array((batch.column(1).to_numpy()[real] << 32) + number[real], pa.int64(), mask=~empty)
+                ids = [batch.column(4).take(index), batch.column(0).take(index), pa.array(size[real], pa.int64())]
+                away = -1 - (offset[real] + number[real])  # over many pieces
+                yield pa.RecordBatch.from_arrays([pa.array(away, pa.int64()), pa.array([""] * len(real), pa.string()), pa.array(np.where(empty, -1 - source[real], start[real]), pa.int64()), lone, *ids], names=fields)
 
     on_workers(spark)
-    out = stream.mapInArrow(run, ", ".join([DEALT, *kind]))
-    piece = F.floor(F.col("place") / PIECE)
-    return out.repartition("shard", piece).sortWithinPartitions("shard", "place"), plan
+    piece = max(1, min(PIECE, int(shards[-1]) // (PIECES * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    return stream.mapInArrow(run, kind).repartition(F.floor(F.col("spot") / piece)).sortWithinPartitions("spot"), plan
 
 
 def allotment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, blocks, dealt): what the mix takes of each row of `docs`.
 
     The mix is made: blocks are drawn, dealt to their shards with their text and put in their places there; `taken` counts the
-    words of a row's blocks as the shards hold them, and `dealt` sums a hash of each block's shard and place.
+    words of a row's blocks as the shards hold them, and `dealt` sums a hash of the blocks' places.
 
     A null text has no words and none are taken; a null source is a source of its own, the last in order. A null id is an id. Repeated
     rows are drawn one by one. Very long texts are cut into blocks like any other. Targets are met to within a block, ties between
     documents go by text digest, and no document is taken more than twice. An empty table gives an empty result; extra columns of any name are not read.
     """
-    blocks, plan = dealt(docs, id_col, text_col, source_col, by_block=True, undrawn=True, **parameters)
+    rows, plan = dealt(docs, id_col, text_col, source_col, **parameters)
     sizes, wanted = np.array(plan.size, np.int64), np.array(plan.target, np.float64)
     names = pa.array(plan.names, pa.string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_of(batch.column(1)).size, pa.int64()), *batch.columns[2:]], names=["spot", "taken", *batch.schema.names[2:]])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = pc.index_in(batch.column(0), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(sizes[s]), pa.array(wanted[s]), pa.array(words_of(batch.column(8)).size, pa.int64())], names=["source", "bucket", "number", "doc_id", "size", "shard", "place", "source_size", "target", "taken"])
+            s = pc.index_in(batch.column(1), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes[s]), pa.array(wanted[s]), *batch.columns[3:]], names=["doc_id", "source", "size", "source_size", "target", "taken", "blocks", "dealt"])
 
-    counted = blocks.mapInArrow(run, "source string, bucket long, number long, doc_id long, size long, shard int, place long, source_size long, target double, taken long")
-    real = F.col("shard") >= 0
-    sums = [F.sum("taken").alias("taken"), F.count_if(real).alias("blocks"), F.sum(F.when(real, F.pmod(F.xxhash64("shard", "place"), F.lit(1 << 32))).otherwise(0)).alias("dealt")]
-    own = counted.groupBy("source", "bucket", "number", "doc_id", "size", "source_size", "target").agg(*sums)
-    return own.select("doc_id", "source", "size", "source_size", "target", "taken", "blocks", "dealt")
+    held = rows.mapInArrow(counted, "spot long, taken long, start long, lone long, doc_id long, source string, size long")
+    block = F.col("spot") >= 0
+    sums = [F.sum("taken").alias("taken"), F.count_if(block).alias("blocks"), F.sum(F.when(block, F.pmod(F.xxhash64("spot"), F.lit(1 << 32))).otherwise(0)).alias("dealt")]
+    own = held.groupBy("start", "lone").agg(F.max("doc_id").alias("doc_id"), F.max("source").alias("source"), F.max("size").alias("size"), *sums)
+    kind = "doc_id long, source string, size long, source_size long, target double, taken long, blocks long, dealt long"
+    return own.select("doc_id", "source", "size", "taken", "blocks", "dealt").mapInArrow(told, kind)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", by_block: bool = True, **parameters) -> DataFrame:
@@ -398,7 +406,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shard, position or pass is returned with `_doc` added to its name. Other odd rows are treated as in allotment().
     """
     carried = tuple(c for c in docs.columns if c != text_col)
-    out, _ = dealt(docs, id_col, text_col, source_col, by_block, carried=carried, **parameters)
+    out, _ = dealt(docs, id_col, text_col, source_col, by_block, carried, **parameters)
     own = {"shard", "position", "pass"}
     back = {c: F.col(f"row.c{i}").alias(f"{c}_doc" if c in own else c) for i, c in enumerate(carried)}
     return out.select(*(F.col("words").alias(text_col) if c == text_col else back[c] for c in docs.columns), "shard", F.col("place").alias("position"), "pass")
