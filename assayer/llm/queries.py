@@ -15,7 +15,7 @@ PIECE_FILE = "piece_bpe_32k.model"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents"), carried=("doc_id",)))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

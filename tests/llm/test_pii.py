@@ -109,3 +109,38 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.digest(pii.detect(docs(spark)))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval", plan)
+
+
+def test_long_values_are_found(spark):
+    digest = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(4))  # 256 digits
+    local = "j" + "a" * 90
+    texts = [f'token = "{digest}" ok', f'secret: "{digest[:160]}" ok', f"write to {local} (at) host{'s' * 80} (dot) organisation ok"] + [f'api_key = "{hashlib.sha1(bytes([i])).hexdigest()}" ok' for i in range(20)]
+    got = found(spark, texts)
+    for i, want in ((0, digest), (1, digest[:160])):
+        assert [texts[i][s["start"] : s["stop"]] for s in got[i]["pii_spans"]] == [want]
+    assert [c.value for c in spark.createDataFrame([(texts[2],)], "t string").select(F.explode(pii.found(F.col("t"), pii.LOOSE["email"])).alias("c")).select("c.value").collect()] == [texts[2][9:-3]]
+
+
+def test_estimates_move_with_the_votes():
+    """Five labelers whose reliability isn't what was believed: EM comes near the true ones, at the default belief."""
+    import random
+
+    rng = random.Random(6)
+    true = {"validity": 0.9, "gazetteer": 0.9, "context": 0.65, "shape": 0.85, "edges": 0.6}
+    counts = {}
+    for _ in range(30_000):
+        real = rng.random() < 0.15
+        votes = tuple((1 if (rng.random() < right) == real else -1) if rng.random() < 0.7 else 0 for right in true.values())
+        counts[votes] = counts.get(votes, 0) + 1
+    model = pii.train([(0, v, 5, n) for v, n in sorted(counts.items())])
+    assert abs(model.share[0] - 0.15) < 0.03
+    for name, want in true.items():
+        assert all(abs(got - want) < 0.06 for got in model.reliability[0][name]), (name, model.reliability[0][name])
+    assert pii.train([]).weights == {}
+
+
+def test_clashing_names(spark):
+    odd = spark.createDataFrame([("a@b.cd", 1, 2, 3, "x"), (None, 4, 5, 6, "y")], "text string, `__c` long, c long, pii_base long, `row` string")
+    out = pii.detect(odd)
+    assert out.columns == ["text", "__c", "c", "row", "pii_base", "pii_spans"]
+    assert sorted((r["__c"], r["c"], r["row"], len(r["pii_base"])) for r in out.collect()) == [(1, 2, "x", 1), (4, 5, "y", 0)]
