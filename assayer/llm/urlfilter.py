@@ -42,6 +42,14 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
+#: Addresses aren't cut at their dots.
+ADDRESS = r"^[0-9]+(\.[0-9]+){3}$"
+
+
+def labels_of(host: Column) -> Column:
+    return F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.split(host, r"\."))
+
+
 def host_of(url: Column) -> Column:
     """The host in lower case without port, credentials and final dot; empty if there is none."""
     return F.rtrim(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1)), F.lit("."))
@@ -65,7 +73,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def keys(host: Column, parts: Column, lengths: list[int], deepest: int) -> Column:
     """Every pattern that would match: the host's suffixes of so many labels, each with 0 to `deepest` leading parts of the path."""
-    labels = F.split(host, r"\.")
+    labels = labels_of(host)
     fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.size(labels))
     suffixes = F.transform(fitting, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     starts = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(deepest))), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, F.greatest(i, F.lit(1))), "/"))))
@@ -75,12 +83,15 @@ def keys(host: Column, parts: Column, lengths: list[int], deepest: int) -> Colum
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """(page_id, host, fetched, n_matches, lists, blocked): every capture against the entries active when it was fetched.
 
-    Repeated rows get a row each. A null or hostless url and a null time match nothing. Paths match by whole parts.
-    An empty list blocks nothing; an empty table gives an empty result.
+    Repeated rows get a row each, as do null ids. A null or hostless url and a null time match nothing. Paths match by whole parts, names by
+    whole labels and numeric addresses whole; urls are read to their end, whatever their length. An entry counts from its very date
+    on, and the next one of its list and pattern ends it. An empty list blocks nothing; an empty table gives an empty result. Columns besides
+    the three are not read, whatever their names. Very many captures of one page at one time are one row of the join, and a
+    key that many rows share when matches come back is split by adaptive execution.
     """
     own = captures.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"), F.col(f"`{time_col}`").cast("timestamp").alias("fetched"))
     active = intervals(entries)
-    labels = F.size(F.split(F.split("pattern", "/")[0], r"\."))
+    labels = F.size(labels_of(F.split("pattern", "/")[0]))
     n, lengths, deepest = active.agg(F.count("*"), F.array_sort(F.collect_set(labels)), F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0))).first()
     parts = F.slice(F.filter(F.split("path", "/"), lambda p: p != ""), 1, max(1, deepest)) if deepest else F.expr("cast(array() as array<string>)")
     own = own.withColumn("start", F.lower(F.array_join(parts, "/"))).drop("path")
@@ -99,7 +110,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
 
 
 def query_entries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(a, b, c, d) for a, b, c, d in LISTS], "list string, pattern string, since string, listed boolean").withColumn("since", F.col("since").cast("timestamp"))
+    return spark.createDataFrame([(a, b, c, d) for a, b, c, d in LISTS], "list string, pattern string, since string, listed boolean").withColumn("since", F.concat("since", F.lit("T00:00:00Z")).cast("timestamp"))
 
 
 def with_times(pages: DataFrame) -> DataFrame:

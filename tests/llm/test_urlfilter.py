@@ -72,3 +72,16 @@ def test_any_number_of_labels(spark, monkeypatch):
     check(spark)
     monkeypatch.setattr(urlfilter, "SENT", 0)
     check(spark)
+
+
+def test_addresses_and_time_zones(spark, monkeypatch):
+    entries = spark.createDataFrame([("l", "10.0.0.1", T(1, 1), True), ("m", "0.1", T(1, 1), True), ("n", "10.0.0.1/x", T(1, 1), True)], urlfilter.ENTRIES_SCHEMA)
+    pages = spark.createDataFrame([(1, "http://10.0.0.1/", T(2, 1)), (2, "http://10.0.0.1:80/x/y", T(2, 1)), (3, "http://1.10.0.0.1/", T(2, 1)), (4, "http://0.1/", T(2, 1)), (5, "http://9.0.0.1/", T(2, 1))], SCHEMA)
+    assert {r["page_id"]: r["lists"] for r in urlfilter.evaluate(pages, entries).collect()} == {1: "l", 2: "l,n", 3: "m", 4: "m", 5: ""}
+    table = spark.createDataFrame([(i, f"http://spam-farm.example.{'com' if i % 2 else 'org'}/") for i in range(400)], "page_id long, url string")
+    zone, found = spark.conf.get("spark.sql.session.timeZone"), []
+    for other in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", other)
+        found.append(sorted(map(str, urlfilter.digest(urlfilter.evaluate(urlfilter.with_times(table), urlfilter.query_entries(spark))).collect())))
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found[0] == found[1]
