@@ -73,16 +73,20 @@ def silence_accuracy(df: DataFrame) -> DataFrame:
 
 
 def tokenised_f1(df: DataFrame) -> DataFrame:
-    """Mean token F1 over rows; null without rows.
+    """Mean token F1 over rows; null without rows. Each row's tokens meet in one sorted array, so that nothing is shuffled."""
+    own = df.select(T.tokens(F.col("prediction")).alias("p"), T.tokens(F.col("reference")).alias("r"))
+    side = lambda c, n: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(n).alias("side")))
 
-    Tokens are exploded and counted per row, then joined by token: partial counts meet before the shuffle, and long
-    texts need no arrays.
-    """
-    sides = [df.select("row_id", F.explode(T.tokens(F.col(c))).alias("token"), F.lit(int(c == "prediction")).alias("p"), F.lit(int(c == "reference")).alias("r")) for c in ("prediction", "reference")]
-    counts = sides[0].union(sides[1]).groupBy("row_id", "token").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    rows = counts.groupBy("row_id").agg(F.sum(F.least("p", "r")).alias("same"), F.sum("p").alias("p"), F.sum("r").alias("r"))
-    scored = df.select("row_id").join(rows, "row_id", "left")
-    return long(scored, tokenised_f1=F.avg(ratio(2 * F.col("same"), F.col("p") + F.col("r"))))
+    def step(acc: Column, x: Column) -> Column:
+        """References of a token come before its predictions, each of which uses up one."""
+        same = acc["token"] == x["token"]
+        left = F.when(x["side"] == 0, F.when(same, acc["left"] + 1).otherwise(1)).otherwise(F.when(same & (acc["left"] > 0), acc["left"] - 1).otherwise(0))
+        hit = (x["side"] == 1) & same & (acc["left"] > 0)
+        return F.struct(x["token"].alias("token"), left.alias("left"), (acc["hits"] + hit.cast("int")).alias("hits"))
+
+    begin = F.struct(F.lit("").alias("token"), F.lit(0).alias("left"), F.lit(0).alias("hits"))
+    hits = F.aggregate(F.array_sort(F.concat(side("r", 0), side("p", 1))), begin, step, lambda acc: acc["hits"])
+    return long(own, tokenised_f1=F.avg(ratio(2 * hits, F.size("p") + F.size("r"))))
 
 
 # Fairness and safety
@@ -206,6 +210,4 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "bias_consistency": bias_consistency,
     "bias_disparity": bias_disparity,
     "harm_detection_accuracy": harm_detection,
-    "medcasereasoning_diagnostic_accuracy": diagnostic_accuracy,
-    "medcasereasoning_reasoning_recall": reasoning_recall,
 }

@@ -485,7 +485,7 @@ def rubric_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.rubric_score(_graded(spark, sf_dir))
 
 
-@query("SELECT conv_id AS row_id, count(*) FILTER (turn % 2 = 1) AS n_answer, sum(CASE WHEN turn % 2 = 0 THEN turn + 1.0 ELSE 0 END) AS query_points FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS row_id, count(*) FILTER (turn % 2 = 1) AS n_answer, CAST(sum(CASE WHEN turn % 2 = 0 THEN turn + 1.0 ELSE 0 END) AS DOUBLE) AS query_points FROM conversations GROUP BY conv_id")
 def rubric_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.when(F.col("turn") % 2 == 1, U.ANSWER_TAG).otherwise(U.QUERY_TAG)
     item = F.struct(F.col("text").alias("criterion"), (F.col("turn") + 1.0).alias("points"), F.array(tag).alias("tags"))
@@ -539,12 +539,62 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.evaluate(d.build(D.numbered(part, "parts")), Q.EchoPredictor, d.metrics, d.extract, dataset="parts", task_type=d.task_type)
 
 
-@query()
+# What the catalogue of datasets is expected to hold.
+_CATALOGUE = (
+    ("medqa", "mcqa", "exact_match", "", "", "test"),
+    ("pubmedqa", "mcqa", "exact_match", "", "", "test"),
+    ("medqa_usmle", "mcqa", "exact_match", "", "", "test"),
+    ("medmcqa", "mcqa", "exact_match", "", "", "validation"),
+    ("medmcqa_indic", "mcqa", "exact_match", "subset", "", "test"),
+    ("mmlu_anatomy", "mcqa", "exact_match", "", "", "test"),
+    ("mmlu_clinical_knowledge", "mcqa", "exact_match", "", "", "test"),
+    ("mmlu_college_biology", "mcqa", "exact_match", "", "", "test"),
+    ("mmlu_college_medicine", "mcqa", "exact_match", "", "", "test"),
+    ("mmlu_professional_medicine", "mcqa", "exact_match", "", "", "test"),
+    ("mmlu_subset", "mcqa", "exact_match", "subset", "", "test"),
+    ("formulary_json_mcq", "mcqa", "exact_match", "", "", "test"),
+    ("drug_mcq", "mcqa", "exact_match", "", "", "test"),
+    ("formulary_list_mcq", "mcqa", "exact_match", "", "", "test"),
+    ("medxpertqa", "mcqa", "exact_match", "", "", "test"),
+    ("medxpertqa_text", "mcqa", "exact_match", "", "", "test"),
+    ("afrimedqa_mcq", "mcqa", "exact_match,geographic_accuracy,demographic_accuracy", "", "", "train"),
+    ("afrimedqa", "open_ended_qa", "tokenised_f1,bleu,rouge", "", "", "train"),
+    ("afrimedqa_harm", "harm_detection", "harm_detection_accuracy", "", "", "train"),
+    ("amqa", "mcqa_bias", "exact_match,bias_consistency,bias_disparity", "", "", "train"),
+    ("amqa_race", "mcqa_bias", "exact_match,bias_consistency,bias_disparity", "", "", "train"),
+    ("amqa_gender", "mcqa_bias", "exact_match,bias_consistency,bias_disparity", "", "", "train"),
+    ("amqa_ses", "mcqa_bias", "exact_match,bias_consistency,bias_disparity", "", "", "train"),
+    ("vqa_rad", "vqa", "exact_match,tokenised_f1", "", "", "test"),
+    ("slake", "vqa", "exact_match,tokenised_f1", "", "", "test"),
+    ("parallel_conversations", "translation", "bleu", "source_language,target_language", "devnagari_transliterator", "test"),
+    ("medical_speech", "transcription", "wer,cer", "language", "", "test"),
+    ("indic_voices", "transcription", "wer,cer,asr_semantic_metric", "language", "multilingual_text_processor", "valid"),
+    ("indic_voices_r", "transcription", "asr_semantic_metric", "language", "multilingual_text_processor", "test"),
+    ("vistaar_small", "transcription", "wer,cer,semantic_wer_metric", "language", "general_text_processor", "test"),
+    ("denoised_speech", "transcription", "wer,cer,semantic_wer_metric", "", "", "test"),
+    ("medical_calculator", "calculator", "numeric_tolerance", "", "", "test"),
+    ("cares_18k", "safety_classification", "accuracy", "", "", "train"),
+    ("patient_safety", "safety_classification", "accuracy", "", "", "train"),
+    ("medcasereasoning", "open_ended_qa", "medcasereasoning_diagnostic_accuracy,medcasereasoning_reasoning_recall", "", "", "test"),
+    ("health_bench", "rubric_evaluation", "rubric_evaluation", "", "", "oss_eval"),
+    ("protocol_qna", "conversation_rubric_evaluation", "answer_rubric_evaluation,query_rubric_evaluation", "", "", "test"),
+    ("history_summarisation", "rubric_evaluation", "rubric_evaluation", "", "", "test"),
+    ("records_parsing", "image_to_json", "json_rubric_evaluation", "", "", "test"),
+    ("note_generation", "text_to_json", "json_rubric_evaluation", "", "", "test"),
+    ("indic_retrieval", "retrieval", "ndcg@k,recall@k,map@k,precision@k", "", "", ""),
+)
+_CATALOGUE_SQL = "(VALUES " + ", ".join(str(row) for row in _CATALOGUE) + ") AS c(name, task_type, metrics, required_args, processors, split)"
+
+
+@query(f"SELECT * FROM {_CATALOGUE_SQL}")
 def dataset_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.catalogue(spark).select("name", "task_type", F.array_join("metrics", ",").alias("metrics"), F.array_join("required_args", ",").alias("required_args"), F.array_join("processors", ",").alias("processors"), "split")
 
 
-@query()
+@query(f"""
+SELECT CASE WHEN task_type IN ('image_to_json', 'vqa') THEN 'vision' WHEN task_type = 'transcription' THEN 'ears' WHEN task_type = 'retrieval' THEN 'vectors' ELSE 'text' END AS model, name AS dataset FROM {_CATALOGUE_SQL}
+UNION ALL SELECT 'vision', name FROM {_CATALOGUE_SQL} WHERE task_type NOT IN ('image_to_json', 'vqa', 'transcription', 'retrieval')
+""")
 def compatible_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = [registry.Model("text", "text_generation"), registry.Model("vision", "text_generation", ("text", "image")), registry.Model("ears", "audio_recognition", ("audio",)), registry.Model("vectors", "embedding")]
     return registry.compatible(registry.model_rows(spark, known), D.catalogue(spark))
@@ -553,3 +603,5 @@ def compatible_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.windowed_counts(_table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+from . import families  # noqa: E402, F401  the datasets' queries register themselves

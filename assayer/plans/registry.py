@@ -143,11 +143,11 @@ def parse_list(text: str) -> list[str]:
 
 def _fill() -> None:
     from ..functions.text import PROCESSORS
+    from ..operators import judges, transcripts
     from ..operators import metrics as basic
-    from ..operators import transcripts
     from ..sources.datasets import DATASETS
 
-    for name, make in {**basic.REGISTRY, **transcripts.REGISTRY}.items():
+    for name, make in {**basic.REGISTRY, **transcripts.REGISTRY, **judges.REGISTRY}.items():
         metrics.register(name)(make)
     for name, make in PROCESSORS.items():
         processors.register(name)(make)

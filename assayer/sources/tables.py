@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Mapping
 from pathlib import Path
 
@@ -27,6 +29,25 @@ def read(spark: SparkSession, path: str, format: str | None = None, schema: str
     return found
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the cluster's checkpoint folder, read again: it is computed once, whatever executors are lost.
+
+    A `local[...]` master without spark.checkpoint.dir gets a folder of this machine.
+    """
+    sc = df.sparkSession.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    at = sc._jsc.sc().getCheckpointDir()
+    if at.isDefined():
+        folder = at.get()
+    elif folder is None:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="kept-")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, content) of images or sound, undecoded."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
