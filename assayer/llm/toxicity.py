@@ -2,8 +2,9 @@
 
 Token labels come from document labels: a word is a marker if it is found in toxic training texts far more
 often than in clean ones, counted over all labelled training texts; markers in toxic texts are labelled 1,
-everything else 0. The chain's features are the strength of a token and of its two neighbours, the tags'
-transitions and a bias; it is fitted by gradient steps on a bounded sample of training texts.
+everything else 0. The chain's features are a token's identity and strength where it is a marker, the strength of its two neighbours, the
+tags' transitions and a bias; it is fitted by gradient steps on a bounded sample of training texts. Markers are known again in
+capitals, with letters repeated, and with digits or signs in the place of letters.
 
 Scoring is exact inference over whole texts. Tokens without a marker beside them all have the same
 emission, so a stretch of them is a power of one 2 x 2 matrix, and forward-backward visits the others only.
@@ -13,6 +14,7 @@ one half are the offending ones.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -27,16 +29,24 @@ from pyspark.sql import functions as F
 from .common import cut, id_and_text, on_workers
 
 FOLDS, LEFT_OUT = 5, 0
-#: Training texts that the chain is fitted on, their code points each and tokens in all, at most; longer texts aren't drawn.
-SAMPLE, SAMPLE_CHARS, SAMPLE_TOKENS, PIECE = 4000, 20_000, 1_500_000, 64
-#: Markers at most, their least log odds and least number of toxic texts.
-MARKERS, LEAST_ODDS, LEAST_TEXTS = 20_000, 1.5, 5
+#: Training texts that the chain is fitted on, and their code points in all, at most: texts are drawn by hash, whole, until either is used up.
+#: Only a first text that alone is longer is cut, for the fit.
+SAMPLE, SAMPLE_CHARS, PIECE = 4000, 12_000_000, 64
+#: Markers' least log odds and least number of toxic texts.
+LEAST_ODDS, LEAST_TEXTS = 1.5, 5
 #: Upper bounds of the log odds of each strength but the last; strength 0 is no marker.
 STRENGTHS = (2.5, 3.5, 5.0)
+#: Tokens that a worker remembers the class of, then forgets.
+REMEMBERED = 300_000
 #: Labels up to this number are broadcast to the texts; more are joined by a shuffle.
 SENT = 500_000
-TOKEN = re.compile(r"[^\W\d_]+")
-STEPS, RATE, SHRINK = 120, 0.5, 1e-4
+#: Letters, with digits and signs that stand for letters between them.
+TOKEN = re.compile(r"[^\W\d_]+(?:[@$0-9]{1,2}[^\W\d_]+)*")
+#: Two like letters are ordinary spelling.
+REPEATED = re.compile(r"(.)\1\1")
+# Letters that digits and signs stand for.
+DISGUISES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
+STEPS, SHRINK = 200, 3e-6
 
 
 def is_training(doc_id: int) -> bool:
@@ -48,20 +58,32 @@ def training(df: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic): a label for each distinct labelled training text; where labels differ, toxic counts."""
+    """(doc_id, digest, chars, toxic): a label for each distinct labelled training text; where labels differ, toxic counts."""
     known = training(labels.where("doc_id is not null and toxic is not null")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = training(docs.where("doc_id is not null")).select("doc_id", F.xxhash64("text").alias("digest")).join(known, "doc_id")
-    return own.groupBy("digest").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
+    own = training(docs.where("doc_id is not null")).select("doc_id", F.xxhash64("text").alias("digest"), F.length("text").alias("chars")).join(known, "doc_id")
+    return own.groupBy("digest").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"), F.max("chars").alias("chars")).select("doc_id", "digest", "chars", "toxic")
+
+
+def drawn(chosen: DataFrame) -> list[tuple[int, int, int]]:
+    """(doc_id, digest, toxic) of the sample, in the order of the draw."""
+    rows = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(SAMPLE).collect()
+    out, used = [], 0
+    for r in rows:
+        used += r["chars"]
+        if out and used > SAMPLE_CHARS:
+            break
+        out.append((r["doc_id"], r["digest"], int(r["toxic"] > 0)))
+    return out
 
 
 def markers(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Log odds of the strongest markers among (text, toxic) rows; at most MARKERS words are collected."""
+    """Log odds of the markers among (text, toxic) rows. A marker is in LEAST_TEXTS toxic texts or more and rare in clean ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word in set(TOKEN.findall(text.lower())):
+                for word in {t.lower() for t in set(TOKEN.findall(text))}:
                     seen.setdefault(word, [0, 0])[int(toxic > 0)] += 1
             if len(seen) > 200_000:
                 yield out(seen)
@@ -75,7 +97,12 @@ def markers(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     strong = found.where(F.col("toxic") >= LEAST_TEXTS).select("word", (odds - spread).alias("odds")).where(F.col("odds") >= LEAST_ODDS)
-    return {r[0]: r[1] for r in strong.orderBy(F.desc("odds"), "word").limit(MARKERS).collect()}
+    return {r[0]: r[1] for r in strong.collect()}
+
+
+def squeezed(word: str) -> str:
+    """A word in lower case without disguise: letters for digits and signs, each run of a letter once."""
+    return re.sub(r"(.)\1+", r"\1", word.lower().translate(DISGUISES))
 
 
 def strength(odds: float) -> int:
@@ -93,6 +120,31 @@ class Chain:
     transition: tuple[tuple[float, float], tuple[float, float]]
     scoring: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
+    @functools.cached_property
+    def _seen(self) -> dict[str, int]:
+        return {}
+
+    @functools.cached_property
+    def _plain(self) -> dict[str, int]:
+        """Markers as they look without disguise; of several the one with the greatest weight."""
+        return {squeezed(w): c for w, c in sorted(self.markers.items(), key=lambda x: (self.own[x[1]], x[0]))}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def classes(self, tokens: list[str]) -> dict[int, int]:
+        """The tokens that are markers, by position, with their classes."""
+        seen = self._seen
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        for t in set(tokens).difference(seen):
+            seen[t] = self._class(t)
+        return {i: c for i, t in enumerate(tokens) if (c := seen[t])}
+
+    def _class(self, token: str) -> int:
+        word = token.lower()
+        return self.markers.get(word) or (0 if word.isalpha() and not REPEATED.search(word) else self._plain.get(squeezed(word), 0))
+
     def emission(self, strengths: np.ndarray) -> np.ndarray:
         left, right = np.zeros_like(strengths), np.zeros_like(strengths)
         left[..., 1:], right[..., :-1] = strengths[..., :-1], strengths[..., 1:]
@@ -119,18 +171,23 @@ def _forward_backward(emission: np.ndarray, mask: np.ndarray, transition: np.nda
 
 
 def fit(sample: list[tuple[str, int]], strengths: dict[str, int]) -> Chain:
-    """The chain fitted to texts with labels, cut into pieces of PIECE tokens, then its scoring function."""
-    levels = len(STRENGTHS) + 2
-    rows, wanted_tags, used = [], [], 0
+    """The chain fitted to texts with labels, cut into pieces of PIECE tokens, then its scoring function.
+
+    A marker's class is its identity. Its weight is that of its strength plus its own, which is shrunk more, so that a marker that
+    the sample has hardly any of counts as others of its strength do.
+    """
+    classes = {w: i + 1 for i, w in enumerate(sorted(strengths))}
+    levels, n = len(STRENGTHS) + 2, len(classes) + 1
+    level = np.array([0, *(strengths[w] for w in sorted(strengths))])
+    looks = Chain(classes, 0.0, (0.0,) * n, (), ((0.0, 0.0), (0.0, 0.0)))
+    rows, wanted_tags = [], []
     for text, toxic in sample:
-        own = [strengths.get(w, 0) for w in TOKEN.findall(text.lower())]
-        used += len(own)
-        if used > SAMPLE_TOKENS:
-            break
-        for at in range(0, len(own), PIECE):
-            rows.append(own[at : at + PIECE])
+        tokens = TOKEN.findall(text)
+        found = looks.classes(tokens)
+        for at in range(0, len(tokens), PIECE):
+            rows.append([found.get(i, 0) for i in range(at, min(at + PIECE, len(tokens)))])
             wanted_tags.append([int(toxic and s > 0) for s in rows[-1]])
-    theta, transition = np.zeros(1 + 2 * levels), np.zeros((2, 2))
+    theta, own, transition = np.zeros(1 + 2 * levels), np.zeros(n), np.zeros((2, 2))
     theta[0] = -4.0
     if rows:
         mask = np.array([[i < len(r) for i in range(PIECE)] for r in rows])
@@ -143,27 +200,31 @@ def fit(sample: list[tuple[str, int]], strengths: dict[str, int]) -> Chain:
         mask = np.r_[mask[~plain], np.arange(PIECE)[None] < length[:, None]]
         s = np.r_[s[~plain], np.zeros((len(length), PIECE), s.dtype)]
         y = np.r_[y[~plain], np.zeros((len(length), PIECE), y.dtype)]
+        strong = level[s]
         left, right = np.zeros_like(s), np.zeros_like(s)
-        left[:, 1:], right[:, :-1] = s[:, :-1], s[:, 1:]
+        left[:, 1:], right[:, :-1] = strong[:, :-1], strong[:, 1:]
         total = (mask.sum(axis=1) * weight).sum()
         pairs = np.zeros((2, 2))
         for a in (0, 1):
             for b in (0, 1):
                 pairs[a, b] = (((y[:, :-1] == a) & (y[:, 1:] == b) & mask[:, 1:]) * weight[:, None]).sum()
-        speed, speed_t = np.full_like(theta, 1e-8), np.full_like(transition, 1e-8)
+        speed, speed_own, speed_t = np.full_like(theta, 1e-8), np.full_like(own, 1e-8), np.full_like(transition, 1e-8)
         for _ in range(STEPS):  # gradient steps scaled by their history
-            emission = theta[0] + theta[1 : 1 + levels][s] + theta[1 + levels :][left] + theta[1 + levels :][right]
+            emission = theta[0] + theta[1 : 1 + levels][strong] + own[s] + theta[1 + levels :][left] + theta[1 + levels :][right]
             marginal, edges = _forward_backward(emission, mask, transition, weight)
             error = (y - marginal) * weight[:, None] * mask
             slope = np.zeros_like(theta)
             slope[0] = error.sum()
-            slope[1 : 1 + levels] = np.bincount(s.ravel(), error.ravel(), levels)
+            slope[1 : 1 + levels] = np.bincount(strong.ravel(), error.ravel(), levels)
             slope[1 + levels :] = np.bincount(left.ravel(), error.ravel(), levels) + np.bincount(right.ravel(), error.ravel(), levels)
             slope[[1, 1 + levels]] = 0.0  # strength 0 is in the bias
+            slope_own = np.bincount(s.ravel(), error.ravel(), n) / total - 3 * SHRINK * own
+            slope_own[0] = 0.0
             slope, slope_t = slope / total - SHRINK * theta, (pairs - edges) / total - SHRINK * transition
-            speed, speed_t = 0.9 * speed + 0.1 * slope**2, 0.9 * speed_t + 0.1 * slope_t**2
+            speed, speed_own, speed_t = 0.9 * speed + 0.1 * slope**2, 0.9 * speed_own + 0.1 * slope_own**2, 0.9 * speed_t + 0.1 * slope_t**2
             theta, transition = theta + 0.15 * slope / np.sqrt(speed), transition + 0.15 * slope_t / np.sqrt(speed_t)
-    chain = Chain(strengths, float(theta[0]), tuple(theta[1 : 1 + levels]), tuple(theta[1 + levels :]), tuple(map(tuple, transition)))
+            own = own + 0.05 * slope_own / np.sqrt(speed_own)
+    chain = Chain(classes, float(theta[0]), tuple((theta[1 : 1 + levels][level] + own).tolist()), tuple(theta[1 + levels :][level].tolist()), tuple(map(tuple, transition.tolist())))
     if not sample:
         return chain
     features = np.array([(1.0, *summary(tags(chain, text))) for text, _ in sample])
@@ -173,7 +234,7 @@ def fit(sample: list[tuple[str, int]], strengths: dict[str, int]) -> Chain:
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
         hessian = (features * (p * (1 - p))[:, None]).T @ features + 0.1 * np.eye(3)
         w = w + np.linalg.solve(hessian, features.T @ (wanted - p) - 0.1 * w)
-    return Chain(chain.markers, chain.bias, chain.own, chain.beside, chain.transition, tuple(w))
+    return Chain(chain.markers, chain.bias, chain.own, chain.beside, chain.transition, tuple(w.tolist()))
 
 
 def _active(strengths: dict[int, int], n: int) -> dict[int, int]:
@@ -218,15 +279,12 @@ def marginals(chain: Chain, strengths: dict[int, int], n: int) -> dict[int, floa
 
 def tags(chain: Chain, text: str) -> list[tuple[int, int, float]]:
     """(start, end, marginal) in code points for the active tokens of a text; offsets are those of the text itself."""
-    lower = text.lower()
-    tokens = TOKEN.findall(lower)
-    if chain.markers.keys().isdisjoint(tokens):
+    tokens = TOKEN.findall(text)
+    found = chain.classes(tokens)
+    if not found:
         return []
-    found = {i: chain.markers[w] for i, w in enumerate(tokens) if w in chain.markers}
     likely = marginals(chain, found, len(tokens))
-    # a letter whose lower case is longer moves offsets
-    at = range(len(text) + 1) if len(lower) == len(text) else [k for k, c in enumerate(text) for _ in c.lower()] + [len(text)]
-    return [(at[m.start()], at[m.end() - 1] + 1, likely[i]) for i, m in enumerate(TOKEN.finditer(lower)) if i in likely]
+    return [(m.start(), m.end(), likely[i]) for i, m in enumerate(TOKEN.finditer(text)) if i in likely]
 
 
 def summary(found: list[tuple[int, int, float]]) -> tuple[float, float]:
@@ -242,23 +300,32 @@ def score(chain: Chain, found: list[tuple[int, int, float]]) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Chain:
-    """The chain for (doc_id, text) documents. Without labels it has no markers and scores one half."""
+    """The chain for (doc_id, text) documents. Without labels it has no markers and scores one half.
+
+    Null texts count as empty, rows without an id have no label, and an empty table is one without labels. Equal texts count once, and very
+    long ones are counted whole. Columns besides the two are not read, whatever their names.
+    """
     on_workers(docs.sparkSession)
-    own = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chosen = cut(labelled(own, labels))
     size = {bool(r[0]): r[1] for r in chosen.groupBy(F.col("toxic") > 0).count().collect()}
     few = sum(size.values()) <= SENT
-    texts = own.join(F.broadcast(chosen) if few else chosen, "doc_id").select("text", "toxic")
+    own = own.withColumn("digest", F.xxhash64("text"))
+    texts = own.join(F.broadcast(chosen) if few else chosen, ["doc_id", "digest"]).select("text", "toxic")
     found = markers(texts, size.get(True, 0), size.get(False, 0))
-    drawn = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = own.join(F.broadcast(drawn), "doc_id").where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "toxic").collect()
-    return fit([(r[1], int(r[2] > 0)) for r in sorted(sample, key=lambda r: (r[0], r[1]))], {w: strength(o) for w, o in found.items()})
+    rows = drawn(chosen)
+    wanted = docs.sparkSession.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, digest long")
+    text = F.substring("text", 1, SAMPLE_CHARS)
+    sample = own.join(F.broadcast(wanted), ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(F.min(text).alias("text")).collect()
+    spoken = {(r[0], r[1]): r[2] for r in sample}
+    return fit([(spoken[a, b], t) for a, b, t in rows], {w: strength(o) for w, o in found.items()})
 
 
 def tag(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, spans): one row for each row of `docs`; spans are array<struct<start, end, p>> of offending tokens.
 
-    Scores depend on the text alone. Null and empty texts have no tokens: the score of a text without markers.
+    Scores depend on the text alone. Null and empty texts have no tokens: the score of a text without markers. Very long texts are
+    tagged whole. Rows, repeated ones and those with a null id too, are kept; an empty table stays empty. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
