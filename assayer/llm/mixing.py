@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +35,11 @@ BLOCK, FINE = 64, 512
 #: Words in an output shard; shards are larger where sources times shards would exceed CELLS quotas.
 SHARD, CELLS = 1_000_000, 4_000_000
 #: Words in a bucket in which a source's documents are put in order: their number follows the largest source.
-BUCKET = 2_000_000
+BUCKET = 200_000
 #: Blocks that are sorted together, at most; fewer where there are few pieces for each shuffle partition.
 PIECE, PIECES = 1 << 14, 16
-#: Bytes of text that are searched for words at once; a longer text is searched alone.
-TOGETHER = 16 << 20
+#: Bytes of compressed text that are read and searched for words at once; a longer text is searched alone.
+TOGETHER = 8 << 20
 #: Populations from which numpy draws.
 DRAWN = 10**9
 
@@ -266,6 +267,20 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)).cast("long").alias("bucket")
 
 
+def _compressed(texts: DataFrame) -> DataFrame:
+    """The rows with their text as zstd frames, as the text is the bulk of what is shuffled; empty texts stay empty."""
+    at = texts.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        write = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = pa.array([write(x) if x else x for x in columns[at].cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return texts.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'text' else k}" for c, k in texts.dtypes))
+
+
 def _heads(rows: DataFrame, buckets: int) -> DataFrame:
     """(source, bucket, start): where each bucket of documents begins in its source's stream of words."""
     words = rows.groupBy("source", _bucket(buckets)).agg(F.sum("size").alias("words"))
@@ -317,8 +332,8 @@ def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     buckets = max(1, -(-max(plan.size, default=0) // BUCKET))
     row = [F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried or ()))).alias("row")] if carried else []
     texts = docs.select(*_keyed(docs, id_col, text_col, source_col), *row).select("source", _bucket(buckets), F.lit(1).alias("edge"), F.lit(0).cast("long").alias("start"), "doc_id", "digest", "text", *(["row"] if carried else []))
-    none = [F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("digest"), F.lit("").alias("text"), *([F.lit(None).cast(texts.schema["row"].dataType).alias("row")] if carried else [])]
-    stream = texts.union(_heads(rows, buckets).select("source", "bucket", F.lit(0).alias("edge"), "start", *none))
+    none = [F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("digest"), F.lit(b"").alias("text"), *([F.lit(None).cast(texts.schema["row"].dataType).alias("row")] if carried else [])]
+    stream = _compressed(texts).union(_heads(rows, buckets).select("source", "bucket", F.lit(0).alias("edge"), "start", *none))
     stream = stream.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "edge", "doc_id", "digest")
     names = pa.array(plan.names, pa.string())
     base = np.cumsum((0, *plan.size), dtype=np.int64)
@@ -329,11 +344,12 @@ def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     fields = [x.split(" ")[0] for x in kind.split(", row")[0].split(", ")] + (["row"] if carried else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = zstandard.ZstdDecompressor().decompress
         offset_so_far = number_so_far = 0  # of the bucket that the last batch ended in
         for whole in batches:
             for batch in slices(whole, 6, TOGETHER):
                 head = np.flatnonzero(batch.column(2).to_numpy() == 0)
-                words = words_of(batch.column(6))
+                words = words_of(pa.array([read(x) if x else x for x in batch.column(6).to_pylist()], pa.large_binary()))
                 size, n = words.size, batch.num_rows
                 passed, place = np.cumsum(size) - size, np.arange(n)
                 cell = np.zeros(n, np.int64)
