@@ -32,6 +32,8 @@ SEGMENTS = 32
 SEGMENT_BITS = 1.5
 #: Cells with more members are searched breadth first instead of pair by pair.
 SMALL_CELL = 24
+#: A fingerprint that more than one in so many rows have is hot; there can't be more hot ones than this.
+HOT = 10_000
 LOW_BITS = 0x5555555555555555
 
 
@@ -210,12 +212,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts count as empty and texts without a word have fingerprint 0, linked like any other; very long texts are read whole. Repeated
     rows each get a row, and equal ids may be in several components. A null doc_id is never the smallest unless the component has no other.
     An empty table gives an empty result; columns besides the two are not read, whatever their names. Copies meet as one distinct
-    fingerprint and are never expanded into pairs; nothing is grouped or joined by component.
+    fingerprint and are never expanded into pairs; nothing is grouped or joined by component, and fingerprints of very many
+    rows get theirs by a broadcast.
     """
     own = cut(fingerprints(docs, id_col, text_col, width))
-    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    member = rooted(distinct, bits).select("fp", F.when(~F.col("root.none"), F.col("root.low")).alias("component_id"))
-    return own.join(member, "fp").select("doc_id", "fp", "component_id")
+    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")))
+    member = cut(rooted(distinct, bits).select("fp", "copies", F.when(~F.col("root.none"), F.col("root.low")).alias("component_id")))
+    most = member.agg(F.sum("copies") / HOT).scalar()
+    hot = F.broadcast(member.where(F.col("copies") > most).select("fp", "component_id"))  # HOT rows at most
+    rest = own.join(hot.select("fp"), "fp", "left_anti").join(member.where(F.col("copies") <= most), "fp")
+    return own.join(hot, "fp").select("doc_id", "fp", "component_id").union(rest.select("doc_id", "fp", "component_id"))
 
 
 def digest(found: DataFrame) -> DataFrame:
