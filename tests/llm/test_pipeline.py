@@ -120,3 +120,15 @@ def test_rows_meet_by_their_own_text(spark, sf):
     assert 1 <= sum(r["source"] == "e" for r in out) <= 2  # one more word may be too far
     copies = corpus_pipeline.near_duplicates(spark, made(spark, [(None, three, "e")] * 4 + [(2, two, "c")] * 3), sf).collect()
     assert sorted(str(r["doc_id"]) for r in copies) == ["2", "None"]
+
+
+def test_no_text_is_lost_and_extra_columns_stay(spark, sf):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = made(spark, [(3, two, "b3"), (5, one, "a5"), (5, two, "b5"), (None, two, "bn")]).withColumn("kept", F.lit("k")).withColumn("a.b", F.lit(1)).withColumn("row", F.lit("r"))
+    out = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert out.columns == docs.columns
+    assert sorted(r["source"] for r in out.collect()) == ["a5", "b3", "bn"]
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.personal_data, corpus_pipeline.target_weights):
+        found = stage(spark, docs, sf)
+        assert found.columns == docs.columns and {tuple(r) for r in found.select("kept", "`a.b`", "row").collect()} == {("k", 1, "r")}
+        assert stage(spark, docs.limit(0), sf).count() == 0
