@@ -265,18 +265,19 @@ def _is_held_out(doc_id: int | None) -> bool:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c, in_all): every distinct word of docs (doc_id, text), with its count in training documents."""
+    """(word, c, uses): every distinct word of docs (doc_id, text), with its count in training documents and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train: Counter[bytes] = Counter()
-        other: set[bytes] = set()
+        other: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            words = [*train, *(other - train.keys())]
+            words = [*train, *(other.keys() - train.keys())]
             c = [train[w] for w in words]
+            uses = [train[w] + other[w] for w in words]
             train.clear()
             other.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(c, pa.int64())], names=["word", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(c, pa.int64()), pa.array(uses, pa.int64())], names=["word", "c", "uses"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
@@ -289,7 +290,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return docs.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "word string, c long, uses long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("uses").alias("uses"))
 
 
 def _shipped(pieces: Pieces):
@@ -345,26 +346,26 @@ def word_scores(words: DataFrame, pieces: Pieces) -> DataFrame:
                 long = len(block) == 1 and len(words[block[0]]) >= LONG
                 scores[block] = own.pieces.word(words[block[0]]) if long else own.word([words[i] for i in block])
             scores /= math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["word", "c", "log10_p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=["word", "c", "uses", "log10_p"])
 
-    return words.select("word", "c").mapInArrow(run, "word string, c long, log10_p double")
+    return words.select("word", "c", "uses").mapInArrow(run, "word string, c long, uses long, log10_p double")
 
 
 def frequent(scored: DataFrame, most: int = FREQUENT, most_bytes: int = MOST_BYTES) -> tuple[Column, dict[bytes, tuple[int, float]]]:
-    """A condition for the most frequent words, and those words; both bounds hold."""
-    step = F.floor(F.log2(F.col("c") + 1) * STEPS)
+    """A condition for the words that are most frequent in all documents, held out or not, and those words; both bounds hold."""
+    step = F.floor(F.log2(F.col("uses") + 1) * STEPS)
     rows = scored.groupBy(step.alias("s")).agg(F.count("*"), F.sum(F.octet_length("word"))).collect()  # a row for each step
     n = size = 0
     floor = None
     for s, count, length in sorted(map(tuple, rows), reverse=True):
         n, size = n + count, size + length
-        if n > most or size > most_bytes or s < STEPS:  # words seen less than once are never frequent
+        if n > most or size > most_bytes:
             break
         floor = s
     if floor is None:
         return F.lit(False), {}
     chosen = step >= floor
-    return chosen, {r[0].encode(): (r[1], r[2]) for r in scored.where(chosen).collect()}
+    return chosen, {r["word"].encode(): (r["c"], r["log10_p"]) for r in scored.where(chosen).collect()}
 
 
 def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -399,7 +400,7 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
                 tokens, n_known, (base, log_p) = text.lower().split(), int(n_docs > 0), end
                 for word, n in Counter(tokens).items():
                     if (entry := table.get(word)) is not None:
-                        n_known += n
+                        n_known += n if entry[0] else 0
                         base += n * (math.log10(entry[0] + 0.5) - denominator)
                         log_p += n * entry[1]
                     else:

@@ -115,6 +115,15 @@ def test_scores(spark, monkeypatch):
     assert lattice.score(spark.createDataFrame([], DOCS), PATH).count() == 0
 
 
+def test_words_of_held_out_documents_are_frequent_too(spark):
+    out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1]
+    learnt = [i for i in range(200) if i not in out]
+    made = [(i, "fresh " * 50) for i in out] + [(i, "known rare") for i in learnt]
+    words = lattice.word_counts(spark.createDataFrame(made, "doc_id long, text string"))
+    _, most = lattice.frequent(lattice.word_scores(words, lattice.read_pieces(PATH)), most=1)
+    assert {w: c for w, (c, _) in most.items()} == {b"fresh": 0}
+
+
 def test_words_are_cut_at_ascii_space_only():
     assert re.findall(r"[^\x20\x09-\x0D]+", "a\x1cb\u00a0c d") == ["a\x1cb\u00a0c", "d"]
     assert "a\x1cb\u00a0c d".encode().split() == ["a\x1cb\u00a0c".encode(), b"d"]
