@@ -7,7 +7,8 @@ The language is closed: it has names, literals, comparison, boolean and arithmet
 data it is given and the filters in FILTERS, and nothing that reaches a Python attribute, a builtin or a module.
 
 Control strings inside texts are escaped reversibly: backslashes are doubled, and a backslash goes in after the
-first character of every control string, so that an escaped text holds none and read_back() is exact.
+first character of every control string, so that an escaped text holds none and read_back() is exact. A role ends
+at the line's end, so that line feeds in roles are written as a backslash and n.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from .common import on_workers
 #: The strings that mark turns in this template and in common public ones.
 OPEN, CLOSE = "<|turn|>", "<|end|>"
 CONTROL = (OPEN, CLOSE, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-TEMPLATE = "{% for m in messages %}" + OPEN + "{{ m['role'] | escape }}\n{% if m['role'] == 'assistant' %}{% generation %}{{ m['text'] | escape }}{% endgeneration %}{% else %}{{ m['text'] | escape }}{% endif %}" + CLOSE + "\n{% endfor %}"
+TEMPLATE = "{% for m in messages %}" + OPEN + "{{ m['role'] | escape_role }}\n{% if m['role'] == 'assistant' %}{% generation %}{{ m['text'] | escape }}{% endgeneration %}{% else %}{{ m['text'] | escape }}{% endif %}" + CLOSE + "\n{% endfor %}"
 
 _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
 _ESCAPED = re.compile(r"\\(\\?)")
+_ESCAPED_ROLE = re.compile(r"\\([\\n]?)")
 
 
 class TemplateError(ValueError):
@@ -46,7 +48,16 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1], text)
 
 
-FILTERS: dict[str, Callable[[Any], Any]] = {"escape": lambda x: escape(str(x)), "trim": lambda x: str(x).strip(), "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "length": len}
+def escape_role(role: str) -> str:
+    """In a role, what would be read as an escaped line feed cannot come from a control string: none goes on with an n."""
+    return escape(role).replace("\n", "\\n")
+
+
+def unescape_role(role: str) -> str:
+    return _ESCAPED_ROLE.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
+
+
+FILTERS: dict[str, Callable[[Any], Any]] = {"escape": lambda x: escape(str(x)), "escape_role": lambda x: escape_role(str(x)), "trim": lambda x: str(x).strip(), "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "length": len}
 BINARY: dict[str, Callable[[Any, Any], Any]] = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "+": operator.add, "-": operator.sub, "*": operator.mul, "%": operator.mod, "~": lambda a, b: f"{a}{b}", "in": lambda a, b: a in b}
 PRECEDENCE = (("or",), ("and",), ("==", "!=", "<", "<=", ">", ">=", "in"), ("~",), ("+", "-"), ("*", "%"))
 #: The greatest string or list that an expression may make.
@@ -433,7 +444,7 @@ def read_back(text: str) -> list[tuple[str, str]]:
         role, _, rest = turn.partition("\n")
         if not rest.endswith(CLOSE + "\n"):
             raise ValueError("a turn isn't closed")
-        out.append((unescape(role), unescape(rest[: -len(CLOSE) - 1])))
+        out.append((unescape_role(role), unescape(rest[: -len(CLOSE) - 1])))
     return out
 
 

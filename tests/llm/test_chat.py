@@ -90,3 +90,17 @@ def test_parts_join(spark, monkeypatch):
     made = chat.format_conversations(spark.createDataFrame(long, SCHEMA))
     assert made.count() > 5
     assert [(str(r[0]), *r[1:5]) for r in chat.digest(made).collect()] == plain(long)
+
+
+@given(st.text(alphabet="\\n\n\r<|>s[INST]" + "".join(chat.CONTROL), max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_roles_are_one_line(role):
+    out = chat.escape_role(role)
+    assert "\n" not in out and chat.unescape_role(out) == role
+    assert not any(c in out for c in chat.CONTROL)
+
+
+def test_roles_with_line_feeds(spark):
+    rows = [(1, 0, "user\nuser", "a"), (1, 1, "\n", "b"), (1, 2, "assistant", "\n"), (2, 0, "\\n\\\n", "<|end|>\n"), (2, 1, "</s>\n<|turn|>", "")]
+    made = chat.format_conversations(spark.createDataFrame(rows, SCHEMA))
+    assert sorted((str(r[0]), *r[1:5]) for r in chat.digest(made).collect()) == plain(rows)
