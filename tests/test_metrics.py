@@ -137,6 +137,18 @@ def test_nearest_in_blocks(spark, monkeypatch):
         assert {q: v for q, v in got.items() if q != 60} == {q: v for q, v in want.items() if q != 60}
 
 
+def test_nearest_in_slices_with_ties(spark, monkeypatch):
+    rng = random.Random(3)
+    vectors = [(i, [float(rng.randint(0, 2)) for _ in range(3)]) for i in range(200)]
+    docs = spark.createDataFrame(vectors, "doc_id long, embedding array<double>").repartition(2)
+    asked = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    want = {(q, i, n + 1) for q, e in vectors if q % 20 == 0 for n, (_, i) in enumerate(sorted((-sum(a * b for a, b in zip(e, v)), i) for i, v in vectors)[:3])}
+    for numbers, scores in ((6, 40), (3, 1), (10**6, 10**6)):
+        monkeypatch.setattr(R, "QUERY_NUMBERS", numbers)
+        monkeypatch.setattr(R, "SCORES", scores)
+        assert {(r["query_id"], r["doc_id"], r["rank"]) for r in R.top_k(docs, asked, 3, cosine=False).collect()} == want
+
+
 def test_pooling(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0])], "t array<array<double>>, m array<int>")
     row = df.select(R.cls_pooling("t").alias("a"), R.mean_pooling(F.col("t"), F.col("m")).alias("b"), R.eos_pooling(F.col("t"), F.col("m")).alias("c")).first()
