@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -90,6 +91,21 @@ def model_rows(spark: SparkSession, rows: Sequence[Model]) -> DataFrame:
     return spark.createDataFrame([(m.name, m.model_type, list(m.modalities), list(m.languages)) for m in rows], "model string, model_type string, modalities array<string>, languages array<string>")
 
 
+def find_models(rows: DataFrame, model_type: str | None = None, modality: str | None = None, language: str | None = None) -> DataFrame:
+    """Models of a type, with a modality, of a language; a model that names no language is of every one."""
+    if model_type:
+        rows = rows.where(F.col("model_type") == model_type)
+    if modality:
+        rows = rows.where(F.array_contains("modalities", modality))
+    return rows.where((F.size("languages") == 0) | F.array_contains("languages", language)) if language else rows
+
+
+def component_rows(spark: SparkSession, registry: Registry) -> DataFrame:
+    """(name, kind, required, optional, defaults) of what a registry has, a row for each; defaults are JSON."""
+    rows = [(n, registry.kind, list(e.required), list(e.optional), json.dumps(dict(e.defaults), sort_keys=True, default=str)) for n, e in sorted(registry.entries.items())]
+    return spark.createDataFrame(rows, "name string, kind string, required array<string>, optional array<string>, defaults string")
+
+
 #: What a task asks of a model: its type and its modalities.
 NEEDS = {
     "mcqa": ("text_generation", ("text",)), "mcqa_bias": ("text_generation", ("text",)), "open_ended_qa": ("text_generation", ("text",)), "harm_detection": ("text_generation", ("text",)),

@@ -199,3 +199,38 @@ def test_running_accuracy(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_traces_come_with_answers(spark):
+    from assayer.operators.predict import predict_traced
+
+    def make():
+        return lambda prompts: [{"text": f" {p}! ", "tool_trace": "[1]"} if p else None for p in prompts]
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "row_id long, input string")
+    got = sorted(map(tuple, predict_traced(rows, make, batch=2).select("row_id", "raw_response", "tool_trace").collect()))
+    assert got == [(1, "a!", "[1]"), (2, "", ""), (3, "b!", "[1]")]
+
+
+def test_encoded_texts_are_searched(spark):
+    from assayer.operators.predict import encode
+    from assayer.operators.ranking import top_k
+
+    def make():
+        return lambda texts: [[t.count("a"), t.count("b")] for t in texts]
+
+    docs = encode(spark.createDataFrame([(1, "aaa"), (2, "bbb"), (3, None)], "doc_id long, text string"), make)
+    asked = encode(spark.createDataFrame([(7, "ab b")], "query_id long, text string"), make, batch=1)
+    assert [r["doc_id"] for r in top_k(docs, asked, 2).orderBy("rank").collect()] == [2, 1]
+
+
+def test_component_catalogues(spark):
+    from assayer.plans import registry
+
+    rows = registry.model_rows(spark, [registry.Model("a", "text_generation", languages=("hi",)), registry.Model("b", "vqa", ("text", "image")), registry.Model("c", "text_generation")])
+    names = lambda df: sorted(r["model"] for r in df.collect())
+    assert names(registry.find_models(rows, "text_generation", "text", "hi")) == ["a", "c"]
+    assert names(registry.find_models(rows, modality="image")) == ["b"] and names(registry.find_models(rows, language="ta")) == ["b", "c"]
+    found = {r["name"]: r for r in registry.component_rows(spark, registry.datasets).collect()}
+    assert found["parallel_conversations"]["required"] == ["source_language", "target_language"]
+    assert {r["name"] for r in registry.component_rows(spark, registry.metrics).collect()} == set(registry.metrics.names())
