@@ -14,11 +14,13 @@ the sketch's estimate of their Jaccard similarity (exact for texts with at most
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, on_workers
@@ -28,6 +30,7 @@ KEEP, LEVEL = 64, 2
 BLOCK = 1 << 19
 #: Buckets of neighbouring documents for each shuffle partition, and their greatest number.
 BUCKETS, MOST_BUCKETS = 8, 20_000
+LOWEST = -(1 << 63)
 
 U = np.uint64
 _LOWEST = np.array([0] + [(i & -i).bit_length() - 1 for i in range(1, 256)], np.uint8)
@@ -174,40 +177,87 @@ def _compared(ids: list, texts: list[str], following: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FIELDS)], schema=FIELDS)
 
 
+def cut_points(own: DataFrame, n: int, wanted: int) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """About `wanted` cuts in (~key, digest, salt), and the keys that hold more than one bucket's share.
+
+    Such a key is cut by the digests of its texts, and a digest that holds more than a share by the salt.
+    percentile_approx() reckons in doubles, so keys are looked up again and digests have 53 bits.
+    """
+    if wanted < 2:
+        return [], []
+    found = Counter(own.agg(F.percentile_approx("key", [i / wanted for i in range(1, wanted)], 10 * wanted)).first()[0])
+    cuts = {(~c, LOWEST, LOWEST) for c in found}
+    doubles = [float(c) for c, times in found.items() if times > 1]
+    if not doubles:
+        return sorted(cuts), []
+    counts = own.where(F.col("key").cast("double").isin(doubles)).groupBy("key").count().where(F.col("count") > n / wanted)
+    hot = {key: int(count * wanted // n) + 1 for key, count in counts.collect()}  # fewer than `wanted` keys
+    fine = max(hot.values(), default=0) + 1
+    grid = own.where(F.col("key").isin(list(hot))).groupBy("key").agg(F.percentile_approx(_digest(), [i / fine for i in range(1, fine)], 10 * fine)) if hot else None
+    for key, digests in grid.collect() if hot else ():
+        cuts.add((~key, LOWEST, LOWEST))
+        for digest, times in Counter(digests[round(i * fine / (hot[key] + 1)) - 1] for i in range(1, hot[key] + 1)).items():
+            width = (1 << 64) // (times + 1)
+            cuts |= {(~key, digest, LOWEST + i * width) for i in range(times + 1 if times > 1 else 1)}
+    return sorted(cuts), list(hot)
+
+
+def _digest() -> Column:
+    return F.shiftright(F.xxhash64("text"), 11)
+
+
+def _bucket_of(cuts: list[tuple[int, int, int]]) -> Callable[[Column, Column, Column], Column]:
+    """The number of cuts at or before (~key, digest, salt)."""
+    first = np.array([c[0] for c in cuts], np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(key, digest, salt):  # noqa: ANN001, ANN202  the kind of UDF follows from there being no annotations
+        import pandas as pd
+
+        own = ~key.to_numpy()
+        out = np.searchsorted(first, own, side="left")
+        for i in np.flatnonzero(out < np.searchsorted(first, own, side="right")):
+            out[i] = bisect_right(cuts, (int(own[i]), int(digest.iloc[i]), int(salt.iloc[i])))
+        return pd.Series(out, dtype="int32")
+
+    return bucket
+
+
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint against that of its edited text and of the next document, by descending id.
 
     Documents go to buckets of neighbouring ids; every bucket ends with a copy of the first document of the next
     one, so that each text is shuffled once and read in order as a stream. Equal ids follow in the order of their
-    texts' hashes, null ids come last, and null texts count as empty. A lone document is its own next. An empty
-    table gives an empty result.
+    texts' hashes, null ids come last, and null texts count as empty. Rows of an id that many rows share, null
+    ids among them, go to buckets by their texts' hashes, and equal rows that are many by an arbitrary number. A
+    lone document is its own next. A text of any length is parsed whole, alone if it is long; extra columns, whatever
+    their names, are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     on_workers(spark)
-    lowest = -(1 << 63)
-    own = id_and_text(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(lowest)))
-    wanted = min(MOST_BUCKETS, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = own.select("key")
-    n = ids.count()
-    wanted = max(1, min(wanted, n // 32))
-    cuts = sorted({x for x in (ids.agg(F.percentile_approx("key", [i / wanted for i in range(1, wanted)], 10 * wanted)).first()[0] or [])}) if wanted > 1 else []
-    limits = np.array(cuts, np.int64)
-
-    @F.pandas_udf("int")
-    def bucket_of(key):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(len(limits) - np.searchsorted(limits, key.to_numpy(), side="right"), dtype="int32")
-
-    own = own.withColumn("bucket", bucket_of("key"))
-    tops = sorted(tuple(r) for r in ids.withColumn("bucket", bucket_of("key")).groupBy("bucket").agg(F.max("key")).collect())  # MOST_BUCKETS rows at most
-    if not tops:
+    own = id_and_text(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
+    n = own.select("key").count()
+    if not n:
         return own.select("doc_id", *(F.lit(None).cast(k).alias(c) for c, k in (("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double"))))
-    ends = spark.createDataFrame([(tops[i - 1][0], key) for i, (_, key) in enumerate(tops)], "bucket int, key long")
-    digest = F.xxhash64("text")
-    heads = own.drop("bucket").join(F.broadcast(ends), "key").withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy(digest))).where("n = 1")
-    rows = own.select("bucket", F.lit(0).alias("edge"), "key", "doc_id", "text").union(heads.select("bucket", F.lit(1).alias("edge"), "key", "doc_id", "text"))
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "edge", F.desc("key"), digest)
+    wanted = max(1, min(MOST_BUCKETS, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 32))
+    cuts, hot = cut_points(own, n, wanted)
+    zero = F.lit(0).cast("long")
+    shared = F.col("key").isin(hot)
+    digest, salt = (F.when(shared, _digest()), F.when(shared, F.xxhash64(F.monotonically_increasing_id()))) if hot else (F.lit(None).cast("long"), zero)
+    own = own.withColumn("digest", digest).withColumn("bucket", _bucket_of(cuts)("key", F.coalesce("digest", zero), F.coalesce(salt, zero)))
+    order = F.struct(F.bitwise_not("key").alias("key"), "digest")
+    firsts = {b: (~first["key"], first["digest"]) for b, first in own.groupBy("bucket").agg(F.min(order)).collect()}  # a row for each bucket
+    after, ends = firsts[min(firsts)], []
+    for b in range(len(cuts), -1, -1):  # an empty bucket ends like the one before it
+        ends.append((b, *after))
+        after = firsts.get(b, after)
+    ends = F.broadcast(spark.createDataFrame(ends, "bucket int, key long, digest long"))
+    at = F.col("own.key").eqNullSafe(F.col("ends.key")) & F.col("own.digest").eqNullSafe(F.col("ends.digest"))
+    whole = F.xxhash64("text")
+    texts = own.drop("bucket").alias("own").join(ends.alias("ends"), at, "left_semi").groupBy("key", "digest", whole.alias("whole")).agg(F.min("text").alias("text"))
+    heads = texts.alias("own").join(ends.alias("ends"), at).groupBy("ends.bucket").agg(F.min_by("text", "whole").alias("text"))
+    rows = own.select("bucket", F.lit(0).alias("edge"), "key", "doc_id", "text").union(heads.select("bucket", F.lit(1), F.lit(LOWEST), F.lit(None), "text"))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "edge", F.desc("key"), whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_ids: list = []

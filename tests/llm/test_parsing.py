@@ -98,3 +98,18 @@ def test_few_documents(spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and one["near_next"] == 1.0
     plain = parsing.fingerprints(docs(spark)).collect()
     assert len(plain) == len(rows()) and {r[1] for r in plain if r[0] in (2000, 2001)} == {""}
+
+def test_hot_ids_are_split(spark, monkeypatch):
+    """Half of all rows have no id and a third are equal; results are those of one bucket, and no bucket holds them all."""
+    rng = random.Random(11)
+    big = (1 << 62) + 12345  # beyond what a double holds
+    table = [(None, prose(rng, 9), "en", "a", 0) for _ in range(300)] + [(None, "the same text", "en", "a", 0)] * 400 + [(big, "another text", "en", "a", 0)] * 200 + [(i, prose(rng, 9), "en", "a", 0) for i in range(300)]
+    frame = spark.createDataFrame(table, DOCS).repartition(3)
+    own = frame.selectExpr("coalesce(doc_id, -9223372036854775808) as key", "text")
+    cuts, hot = parsing.cut_points(own, len(table), 32)
+    assert set(hot) == {-(1 << 63), big} and len(cuts) > 20
+    assert len({c[2] for c in cuts}) > 5  # equal rows are cut by the salt
+    key = lambda r: tuple(map(str, r))
+    found = sorted(map(key, parsing.compare_edited(frame).collect()))
+    monkeypatch.setattr(parsing, "MOST_BUCKETS", 1)
+    assert found == sorted(map(key, parsing.compare_edited(frame).collect())) and len(found) == len(table)
