@@ -604,4 +604,4 @@ def compatible_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.windowed_counts(_table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
-from . import families  # noqa: E402, F401  the datasets' queries register themselves
+from . import families, forms  # noqa: E402, F401  their queries register themselves

@@ -29,21 +29,23 @@ def read(spark: SparkSession, path: str, format: str | None = None, schema: str
     return found
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the cluster's checkpoint folder, read again: it is computed once, whatever executors are lost.
-
-    A `local[...]` master without spark.checkpoint.dir gets a folder of this machine.
-    """
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a `local[...]` master without spark.checkpoint.dir gets a folder of this machine."""
+    sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
-        folder = at.get()
-    elif folder is None:
+        return at.get()
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
         if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="kept-")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, read again: it is computed once, whatever executors are lost."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
