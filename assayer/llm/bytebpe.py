@@ -9,9 +9,12 @@ among equals. A bounded memo stands in front of both, as pre-tokens repeat.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -74,6 +77,39 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+@functools.cache
+def _ranges(kind: str) -> str:
+    """The Basic Multilingual Plane's characters of a Unicode class, as ranges for a set in `re`."""
+    plane = "".join(chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000)
+    return "".join(f"\\u{ord(m[0]):04x}-\\u{ord(m[-1]):04x}" for m in regex.findall(rf"\p{{{kind}}}+", plane))
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """findall() of `pattern`. Texts without characters beyond the Basic Multilingual Plane take `re`, which is faster, if `re` can tell the pattern."""
+    whole = regex.compile(pattern.replace(r"[^\s", "[^" + SPACE[1:-1]).replace(r"\s", SPACE).replace(r"(?!\S)", f"(?!{'[^' + SPACE[1:]})"))
+    if re.search(r"\[[^]]*\[", whole.pattern) or not re.fullmatch(r"[ '\w|?+*^()!\[\]]*", re.sub(r"\\p\{[LN]\}|\\s|\(\?!\\S\)", "", pattern)):
+        return whole.findall
+
+    def spelled(m: re.Match[str]) -> str:
+        own = re.sub(r"\\p\{([LN])\}", lambda x: _ranges(x[1]), m[0])
+        return own if m[0][0] == "[" else f"[{own}]"
+
+    sets = re.sub(r"\[[^]]*\]|\\p\{[LN]\}", spelled, whole.pattern)
+    plain, beyond = re.compile(sets).findall, re.compile("[\U00010000-\U0010ffff]").search
+    return lambda text: plain(text) if text.isascii() or not beyond(text) else whole.findall(text)
+
+
+class Memo(dict):
+    """What `resolve` has found, which it puts here itself."""
+
+    def __init__(self, resolve: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.resolve = resolve
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        return self.resolve(token)
+
+
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -81,8 +117,9 @@ class ByteBPE:
         self.ids = list(ranks.values())
         self.hash = PerfectHash(self.keys)
         self.bytes_of = {i: k for k, i in ranks.items()}
-        self.pattern = regex.compile(pattern.replace(r"[^\s", "[^" + SPACE[1:-1]).replace(r"\s", SPACE).replace(r"(?!\S)", f"(?!{'[^' + SPACE[1:]})"))
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.spelled = {i: str(i) for i in self.ids}
+        self.split = splitter(pattern)
+        self.memo = Memo(self._resolve)
         self.old: dict[str, tuple[int, ...]] = {}
 
     def whole(self, piece: bytes) -> int | None:
@@ -92,25 +129,25 @@ class ByteBPE:
 
     def merged(self, piece: bytes) -> list[int]:
         """Tier two."""
-        n, ranks = len(piece), self.ranks
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        n, ranks, get = len(piece), self.ranks, self.ranks.get
+        before, end = list(range(-1, n - 1)), list(range(1, n + 1))  # a part ends where the next one begins; 0: merged into the one before
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, stop = heapq.heappop(heap)
-            if end[i] == 0 or (j := after[i]) >= n or end[j] != stop:
+            if not (j := end[i]) or j >= n or end[j] != stop:
                 continue  # one of the two has been merged since
-            end[i], end[j], after[i] = stop, 0, after[j]
-            if (k := after[i]) < n:
-                before[k] = i
-                if (r := ranks.get(piece[i : end[k]])) is not None:
-                    heapq.heappush(heap, (r, i, end[k]))
-            if (p := before[i]) >= 0 and (r := ranks.get(piece[p:stop])) is not None:
+            end[i], end[j] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := get(piece[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if (p := before[i]) >= 0 and (r := get(piece[p:stop])) is not None:
                 heapq.heappush(heap, (r, p, stop))
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
-            i = after[i]
+            i = end[i]
         return out
 
     def _resolve(self, token: str) -> tuple[int, ...]:
@@ -120,27 +157,19 @@ class ByteBPE:
             ids = (one,) if one is not None else tuple(self.merged(piece))
         if len(token) <= 64:
             if len(self.memo) >= MEMO // 2:
-                self.old, self.memo = self.memo, {}
+                self.old = dict(self.memo)
+                self.memo.clear()
             self.memo[token] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        add = out.extend
-        get, resolve = self.memo.get, self._resolve
-        for token in self.pattern.findall(text):
-            if (ids := get(token)) is None:
-                ids = resolve(token)
-                get = self.memo.get  # the memo may be a new one
-            add(ids)
-        return out
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-
-def ids_digest(ids: list[int]) -> str:
-    return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    def digest(self, ids: list[int]) -> str:
+        return hashlib.sha256(",".join(map(self.spelled.__getitem__, ids)).encode()).hexdigest()
 
 
 _coders: dict[tuple[str, str], ByteBPE] = {}
@@ -183,7 +212,7 @@ def encode(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] =
             ids = own.encode(text or "")
             decoded = own.decode(ids) if {"decoded", "decoded_sha256"} & set(outputs) else b""
             for name, rows in made.items():
-                rows.append(ids if name == "ids" else decoded if name == "decoded" else len(ids) if name == "n_tokens" else ids_digest(ids) if name == "ids_sha256" else hashlib.sha256(decoded).hexdigest())
+                rows.append(ids if name == "ids" else decoded if name == "decoded" else len(ids) if name == "n_tokens" else own.digest(ids) if name == "ids_sha256" else hashlib.sha256(decoded).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows, kinds[name]) for name, rows in made.items())], names=["doc_id", *outputs])
 
     on_workers(docs.sparkSession)

@@ -35,6 +35,31 @@ def test_every_character(both):
             assert own.encode(text) == want.encode_ordinary(text), hex(at)
 
 
+def test_split_without_regex(both, monkeypatch):
+    """Texts of the Basic Multilingual Plane are split by `re` alone, others by `regex`, and both as the pattern says."""
+    every = "".join(chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000)
+    texts = [f"a{c}{c}b 1{c} {c}" for c in every] + ["don't  stop\n\n we'll  \t go 12x\x1c\x85 ", " '" * 9, ""]
+    slow = bytebpe.regex.compile(public_tokenizers.PATTERN.replace(r"\s\p", bytebpe.SPACE[1:-1] + r"\p").replace(r"\s", bytebpe.SPACE).replace(r"\S", "[^" + bytebpe.SPACE[1:]))
+    want, long = [slow.findall(x) for x in texts], "one 𝒳𝒳 two 𝟗9 \U0001f600! "
+    calls = []
+    real = bytebpe.regex.compile
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.own = pattern, real(pattern)
+
+        def findall(self, text):
+            calls.append(text)
+            return self.own.findall(text)
+
+    monkeypatch.setattr(bytebpe.regex, "compile", Counted)
+    split = bytebpe.ByteBPE(both[0].ranks, public_tokenizers.PATTERN).split
+    assert [split(x) for x in texts] == want and not calls
+    assert split(long) == slow.findall(long) and calls == [long]
+    split = bytebpe.splitter(r"(?i:'s)|\p{Lu}\p{Ll}*|[^\r\n]")  # not for `re`
+    assert split("It's ÀÉé") == ["It", "'s", " ", "À", "Éé"]
+
+
 @given(st.text(max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_texts(both, text):
