@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, as_bytes, cut, on_workers
@@ -30,8 +30,8 @@ from .common import arrow_map, as_bytes, cut, on_workers
 ALPHA, DELTA = 0.02, 0.05
 #: A rejected good document outweighs so many rejected bad ones.
 GOOD_WEIGHT = 10
-#: One in so many labelled texts proposes cutoffs, PROPOSERS of a stratum at most; all others are its holdout.
-PROPOSING, PROPOSERS = 3, 5000
+#: One in so many labelled texts proposes cutoffs; all others are its stratum's holdout.
+PROPOSING = 3
 #: Cutoffs that a sequence goes to, at most.
 STEPS = 24
 #: Limits of so many strata are broadcast; more are joined by a shuffle.
@@ -187,25 +187,74 @@ def proposed(values: np.ndarray, good: np.ndarray, rules: tuple[Rule, ...] = RUL
     loosens a rule: the documents rejected grow along the sequence.
     """
     out: list[tuple[int, float]] = []
-    left, weight = np.ones(len(values), bool), np.where(good, -float(GOOD_WEIGHT), 1.0)
+    left = np.ones(len(values), bool)
     for _ in range(steps):
-        best = None
+        counted = []
         for i, rule in enumerate(rules):
-            place = np.searchsorted(np.array(rule.grid[::-1]), values[left, i], side="left")  # cutoffs below the value
-            n = len(rule.grid)
-            count = np.bincount(n - place, minlength=n + 1)[:n]  # documents that a cutoff rejects beyond the more lenient ones
-            gains = np.cumsum(np.bincount(n - place, weight[left], n + 1))[:n]
-            lost = np.cumsum(np.bincount(n - place, good[left].astype(float), n + 1))[:n]
-            at = int(np.lexsort((np.arange(n), lost, -gains))[0])
-            if gains[at] > 0 and (best is None or (gains[at], -lost[at]) > best[0]):
-                best = (gains[at], -lost[at]), [(i, rule.grid[j]) for j in range(at + 1) if count[j]]
+            place = len(rule.grid) - np.searchsorted(np.array(rule.grid[::-1]), values[left, i], side="left")  # the first cutoff below the value
+            counted.append([np.bincount(place[good[left] == x], minlength=len(rule.grid) + 1) for x in (True, False)])
+        best = best_step([g for g, _ in counted], [b for _, b in counted], rules)
         if best is None:
             break
-        out += best[1]
+        out += [(best[0], rules[best[0]].grid[j]) for j in best[1]]
         left &= values[:, out[-1][0]] <= out[-1][1]
     return out
 
 
+def best_step(good: list[np.ndarray], bad: list[np.ndarray], rules: tuple[Rule, ...] = RULES) -> tuple[int, list[int]] | None:
+    """The rule and the numbers of its cutoffs on the way to the best one, given the documents left by rule and by the first cutoff that rejects them."""
+    best = None
+    for i, rule in enumerate(rules):
+        n = len(rule.grid)
+        count = good[i][:n] + bad[i][:n]  # documents that a cutoff rejects beyond the more lenient ones
+        lost = np.cumsum(good[i][:n])
+        gains = np.cumsum(bad[i][:n]) - GOOD_WEIGHT * lost
+        at = int(np.lexsort((np.arange(n), lost, -gains))[0])
+        if gains[at] > 0 and (best is None or (gains[at], -lost[at]) > best[0]):
+            best = (gains[at], -lost[at]), i, [j for j in range(at + 1) if count[j]]
+    return best and best[1:]
+
+
+def sequences(few: DataFrame, n_strata: int, rules: tuple[Rule, ...] = RULES, steps: int = STEPS) -> DataFrame:
+    """(stratum, rule, cutoff): what proposed() gives for each stratum's rows (stratum, quality, values), however many they are.
+
+    Rows that the same cutoffs reject are counted together; for each step, the counts by stratum, rule and cutoff are summed over all
+    tasks, so that a task sees a histogram of a stratum and never its rows.
+    """
+
+    def first(i: int, rule: Rule) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, rule.grid)), lambda cutoff: F.get(F.col("values"), F.lit(i)) <= cutoff))
+
+    def choose(stratum, part):  # noqa: ANN001, ANN202
+        good, bad = ([np.zeros(len(r.grid) + 1, np.int64) for r in rules] for _ in range(2))
+        for i, at, g, b in zip(part["i"], part["place"], part["good"], part["bad"]):
+            good[i][at] += g
+            bad[i][at] += b
+        best = best_step(good, bad, rules)
+        i, places = best or (-1, [])
+        return _frame(stratum[0], step=i, place=places[-1] if best else -1, rules=[i] * len(places), cutoffs=[rules[i].grid[j] for j in places])
+
+    def sent(strata: DataFrame) -> DataFrame:
+        return F.broadcast(strata) if n_strata <= SENT else strata
+
+    rejected = F.array(*(first(i, r) for i, r in enumerate(rules))).alias("first")
+    kinds = few.select("stratum", rejected, (F.col("quality") > 0).alias("own")).groupBy("stratum", "first").agg(F.count_if("own").alias("good"), F.count_if(~F.col("own")).alias("bad"))
+    kinds = cut(kinds.where(F.exists(F.arrays_zip("first", F.array(*(F.lit(len(r.grid)) for r in rules)).alias("n")), lambda x: x["first"] < x["n"])))
+    none = [F.array().cast(t).alias(c) for c, t in (("rule", "array<int>"), ("cutoff", "array<double>"))]
+    state = cut(kinds.select("stratum").distinct().select("stratum", F.array_repeat(F.lit(-1), len(rules)).alias("at"), *none, F.lit(True).alias("open")))
+    on_workers(few.sparkSession)
+    for _ in range(steps):
+        left = kinds.join(sent(state.where("open").select("stratum", "at")), "stratum").where(F.forall(F.arrays_zip("first", "at"), lambda x: x["first"] > x["at"]))
+        cells = left.select("stratum", "good", "bad", F.posexplode("first").alias("i", "place")).groupBy("stratum", "i", "place").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        found = cells.groupBy("stratum").applyInPandas(choose, "stratum string, step int, place int, rules array<int>, cutoffs array<double>").where("step >= 0")
+        at = F.transform("at", lambda x, i: F.when(i == F.col("step"), F.col("place")).otherwise(x)).alias("at")
+        more = [F.when(F.col("step").isNull(), F.col(c)).otherwise(F.concat(c, f"{c}s")).alias(c) for c in ("rule", "cutoff")]
+        state = cut(state.join(sent(found), "stratum", "left").select("stratum", at, *more, F.col("step").isNotNull().alias("open")))
+        if state.where("open").isEmpty():
+            break
+    return state.where(F.size("rule") > 0).select("stratum", "rule", "cutoff")
+
+
 def tested(steps: list[tuple[int, float]], good: list[int], bad: list[int], n_good: int, level: float, alpha: float = ALPHA, width: int = len(RULES)) -> list[float | None]:
     """The limit of each rule, given the good and bad holdout documents that the first 1, 2, ... steps reject."""
     limits: list[float | None] = [None] * width
@@ -224,7 +273,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] =
     """(stratum, limits): each rule's cutoff (null: none) in the strata that have any, from labels (doc_id, quality 0 or 1).
 
     Documents that fail the base rules don't count, as they go anyway. Null qualities or ids are left out; where labels of a text
-    differ, the lowest counts. PROPOSERS texts of a stratum meet in a task, and a histogram of the others; the driver reads a count.
+    differ, the lowest counts. All texts that propose and all others count; what meets in a task is histograms of a stratum. The driver reads counts.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     values = F.array(*(feature(r.feature) for r in rules)).alias("values")
@@ -232,16 +281,8 @@ def calibrate(measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] =
     trials = cut(rows.groupBy("stratum", "digest").agg(F.min("quality").alias("quality"), F.min("values").alias("values")))
     n_strata = trials.select("stratum").distinct().count()
     proposes = F.pmod(F.xxhash64(F.lit(7), "digest"), F.lit(PROPOSING)) == 0
-    order = Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(8), "digest"), "digest")
-    few = trials.where(proposes).withColumn("n", F.row_number().over(order)).where(F.col("n") <= PROPOSERS)
-
-    def propose(stratum, part):  # noqa: ANN001, ANN202
-        own = np.array(part["values"].tolist(), np.float64).reshape(len(part), len(rules))
-        steps = proposed(own, part["quality"].to_numpy() > 0, rules)
-        return _frame(stratum[0], rule=[r for r, _ in steps], cutoff=[c for _, c in steps])
-
-    sequences = cut(few.select("stratum", "quality", "values").groupBy("stratum").applyInPandas(propose, "stratum string, rule array<int>, cutoff array<double>").where(F.size("rule") > 0))
-    held = _joined(trials.where(~proposes), sequences, "inner")
+    found = sequences(trials.where(proposes), n_strata, rules)
+    held = _joined(trials.where(~proposes), found, "inner")
     rejects = F.transform(F.arrays_zip("rule", "cutoff"), lambda s: F.get(F.col("values"), s["rule"]) > s["cutoff"])
     step = F.array_position(rejects, True)  # the first that rejects the document; 0: none
     tall = held.groupBy("stratum", (F.col("quality") > 0).alias("good"), step.alias("step")).agg(F.count("*").alias("n"), F.first("rule").alias("rule"), F.first("cutoff").alias("cutoff"))
@@ -255,8 +296,8 @@ def calibrate(measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] =
         return _frame(stratum[0], limits=tested(steps, good, bad, int(seen[1].sum()), delta / max(1, n_strata), alpha, len(rules)))
 
     on_workers(measured.sparkSession)
-    found = tall.groupBy("stratum").applyInPandas(test, "stratum string, limits array<double>")
-    return cut(found.where(F.exists("limits", lambda x: x.isNotNull())))
+    limits = tall.groupBy("stratum").applyInPandas(test, "stratum string, limits array<double>")
+    return cut(limits.where(F.exists("limits", lambda x: x.isNotNull())))
 
 
 def _frame(stratum: str, **columns: list):

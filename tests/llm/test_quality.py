@@ -123,3 +123,32 @@ def test_many_strata_and_repeated_texts(spark, monkeypatch):
         # ten texts, or one text however often, certify nothing
         assert kept["l0", False] + kept["l3", False] > 0
         assert sum(r["kept"] for r in found if r["stratum"] == "copied") == 990
+
+
+def test_every_labelled_text_proposes_or_tests(spark):
+    """Beyond 5,000 proposing texts of a stratum the others count as well, and steps are those of one process over all of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    n = 24_000
+    values = np.array([rng.choice(r.grid, n) + rng.choice([0, 0.003], n) for r in quality.RULES]).T  # half of them on cutoffs, which they don't exceed
+    odd = (values[:, 0] > 2) | (values[:, 1] > 0.8) | (values[:, 6] > 32)
+    good = rng.random(n) < np.where(odd, 0.01, 0.95)
+    stratum = np.where(rng.random(n) < 0.9, "big", "small")
+    few = spark.createDataFrame([(s, int(g), v) for s, g, v in zip(stratum.tolist(), good.tolist(), values.tolist())], "stratum string, quality int, values array<double>")
+    found = {r["stratum"]: list(zip(r["rule"], r["cutoff"])) for r in quality.sequences(few, 2).collect()}
+    want = {s: quality.proposed(values[stratum == s], good[stratum == s]) for s in ("big", "small")}
+    assert found == want and len({r for r, _ in want["big"]}) > 2
+    assert quality.sequences(few.limit(0), 0).count() == 0
+
+
+def test_calibrate_reads_all_proposers(spark, monkeypatch):
+    """Every labelled text that the base rules leave is counted once, as one that proposes or as one that tests."""
+    seen = {}
+    monkeypatch.setattr(quality, "sequences", lambda few, *a, own=quality.sequences: seen.update(n=few.count()) or own(few, *a))
+    n = 18_000
+    own = spark.range(n).selectExpr("id doc_id", "'en' stratum", "xxhash64(id) digest", "100L n_words", "500L word_chars", "if(id % 4 = 0, 90L, 0L) n_symbols", *(f"{c} {x}" for x, c in (("n_dup_lines", "0L"), ("n_repeat_words", "0L"), ("n_upper", "0L"), ("n_exclaim", "0L"), ("n_distinct", "90L"), ("n_lines", "5L"))))
+    labels = spark.range(n).selectExpr("id doc_id", "if(id % 4 = 0, 0, 1) quality", "0 toxic")
+    limits = quality.calibrate(own, labels).collect()
+    assert 5500 < seen["n"] < 6500
+    assert [r["stratum"] for r in limits] == ["en"] and limits[0]["limits"][0] < 0.9 and not any(limits[0]["limits"][1:])
