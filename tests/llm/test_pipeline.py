@@ -132,3 +132,17 @@ def test_no_text_is_lost_and_extra_columns_stay(spark, sf):
         found = stage(spark, docs, sf)
         assert found.columns == docs.columns and {tuple(r) for r in found.select("kept", "`a.b`", "row").collect()} == {("k", 1, "r")}
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_cutoffs_come_from_all_labelled_texts(spark, tmp_path):
+    """Junk that is found only beyond the first 5,000 proposing texts, in the order of their hashes, is proposed and goes."""
+    digest, words = F.xxhash64("text"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: F.concat(F.lit("w"), F.hex(F.pmod(F.xxhash64("doc_id", i), F.lit(1 << 30))))), " ")
+    made = spark.range(45_000).withColumnRenamed("id", "doc_id").withColumn("junk", F.col("doc_id") >= 42_000)
+    made = made.withColumn("text", F.when(F.col("junk"), F.regexp_replace(words, " ", "### ")).otherwise(words))
+    proposes, late = F.pmod(F.xxhash64(F.lit(7), digest), F.lit(3)) == 0, F.xxhash64(F.lit(8), digest) > 0
+    docs = made.where(~proposes | (late == F.col("junk"))).cache()
+    assert docs.where(proposes & ~F.col("junk")).count() > 5000 and docs.where(proposes & F.col("junk")).count() > 200
+    docs.selectExpr("doc_id", "if(junk, 0, 1) quality", "0 toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    given = docs.selectExpr("doc_id", "text", "'en' lang", "'a' source", "cast(length(text) as long) n_chars", "junk")
+    kept = corpus_pipeline.quality_rules(spark, given, str(tmp_path))
+    assert [tuple(r) for r in kept.groupBy("junk").count().collect()] == [(False, docs.where("not junk").count())]
