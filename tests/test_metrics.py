@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,16 @@ def test_entity_wer(spark):
     assert got == {"entity_wer": 0.5, "keywords": 2.0}
 
 
+def test_entity_wer_of_repeated_rows(spark):
+    """Equal pairs of a batch have their links once, and each row has them."""
+    assert A._distinct(pa.array(["a", "b", "a"]), pa.array(["x", "y", "x"])) == ([("a", "x"), ("b", "y")], pa.array([0, 1, 0]))
+    pair = "if(id % 3 = 0, 'take solo now', 'Dolo') as prediction, if(id % 3 = 0, 'take Dolo now', 'Dolo') as reference"
+    df = spark.range(0, 3000, 1, 2).selectExpr("id as row_id", *pair.replace(", if", "; if").split("; "), "array(struct('Dolo' as text, 'drug' as category, array(struct(5 as s, 9 as e)) as offsets)) as entities")
+    links = {r.row_id: [a.type for a in r.alignment] for r in A.alignments(df).collect()}
+    assert links == {i: ["match"] if i % 3 else ["match", "substitution", "match"] for i in range(3000)}
+    assert values(A.entity_wer(df)) == {"entity_wer": 0.333, "keywords": 3000.0}
+
+
 def test_ranking(spark):
     run = frame(spark, [(1, 10, 0.9), (1, 11, 0.8), (1, 12, 0.8), (2, 10, 0.5), (3, 10, 0.5)], "query_id long, doc_id long, score double")
     qrels = frame(spark, [(1, 11, 1), (1, 99, 1), (2, 10, 1), (4, 1, 1)], "query_id long, doc_id long, rel int")
