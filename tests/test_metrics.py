@@ -103,6 +103,19 @@ def test_transcripts(spark):
     assert values(A.wer(df.limit(0)))["wer"] == 0.0
 
 
+def test_equal_pairs_are_scored_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(ref, hyp):
+        seen.add(1)
+        return float(len(ref)), float(len(hyp))
+
+    df = spark.range(0, 1000, 1, 1).selectExpr("id", "if(id % 2 = 0, 'a', null) as reference", "'bc' as prediction")
+    got = A.scored(df, score, ["r", "h"], ["id"]).collect()
+    assert [tuple(x) for x in got] == [(i, float(i % 2 == 0), 2.0) for i in range(1000)]
+    assert seen.value == 2
+
+
 def test_entity_wer(spark):
     offsets = [("Dolo", "drug", [(5, 9)])]
     df = frame(spark, [(1, "take solo", "take Dolo", offsets), (2, "dolo", "Dolo", [])], PAIR + ", entities array<struct<text: string, category: string, offsets: array<struct<s: int, e: int>>>>")
