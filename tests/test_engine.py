@@ -234,3 +234,22 @@ def test_component_catalogues(spark):
     found = {r["name"]: r for r in registry.component_rows(spark, registry.datasets).collect()}
     assert found["parallel_conversations"]["required"] == ["source_language", "target_language"]
     assert {r["name"] for r in registry.component_rows(spark, registry.metrics).collect()} == set(registry.metrics.names())
+
+
+def test_only_prompts_go_to_the_model(spark):
+    """Lists, structs and maps stay in the JVM; every row is asked once and keeps its columns."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def make():
+        def run(prompts):
+            seen.add(len(prompts))
+            return [p.upper() for p in prompts]
+
+        return run
+
+    rows = spark.range(0, 300, 1, 2).selectExpr("id as row_id", "if(id % 3 = 0, null, concat('p', id)) as input", "array(struct(id as a, map('k', id) as m)) as nested")
+    found = Q.predict(rows, make)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.row_id: (r.raw_response, r.nested[0].m["k"]) for r in found.where("raw_response <> 'x' or row_id >= 0").collect()}
+    assert got == {i: ("" if i % 3 == 0 else f"P{i}", i) for i in range(300)}
+    assert seen.value == 300
